@@ -145,7 +145,6 @@ DISPLACEMENT_SENTENCE = (
 LOWER_BOUND_PHRASE = r"\bat least\b|\bmore than\b|\bover\b"
 SUGGESTED_FIELDS = ["Sub_Location", "Date_Start", "Parties_Involved", "Casualties_Reported", "Displaced_Persons"]
 DRAFT_TEXT_LIMIT = 5000
-SUGGESTION_TEXT_LIMIT = 100_000
 DRAFT_NOTE = (
     "AUTO-SUGGESTED, NOT VERIFIED. Read Source_URL and confirm every field, "
     "especially Sub_Location, Date_Start, Casualties_Reported, and "

@@ -15,6 +15,11 @@ def known_number(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def strip(c: Column) -> Column:
+    """Without any white space at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def to_number(c: Column) -> Column:
     return known_number(c.try_cast("double"))
 
@@ -56,7 +61,7 @@ def without_suspect_dates(df: DataFrame, flag: str = "date_precision_suspect", e
 
 def count_columns(c: Column, missing_is_unknown: bool = False) -> dict[str, Column]:
     """Number, lower-bound flag and unknown flag of a text such as ``69+``."""
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     unknown = F.coalesce(F.lower(text) == "unknown", F.lit(missing_is_unknown))
     return {
         "numeric": F.when(~unknown, to_number(F.regexp_replace(text, r"\++$", ""))),

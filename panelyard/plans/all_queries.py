@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.plans import panel_queries  # noqa: F401
+from panelyard.plans import (  # noqa: F401
+    explore_queries,
+    panel_queries,
+    record_queries,
+    serve_queries,
+    text_queries,
+)
 from panelyard.plans.inputs import panel
 from panelyard.plans.registry import ORACLES, QUERIES  # noqa: F401
 
