@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.plans import (  # noqa: F401
     explore_queries,
+    model_queries,
     panel_queries,
     record_queries,
     serve_queries,
