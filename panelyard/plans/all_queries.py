@@ -11,6 +11,7 @@ from panelyard.plans import (  # noqa: F401
     panel_queries,
     record_queries,
     serve_queries,
+    spatial_queries,
     text_queries,
 )
 from panelyard.plans.inputs import panel
