@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard import fixed_values as fv
@@ -152,10 +152,10 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int = 4, rows_per_ce
 
 
 def _smallest(near: DataFrame, k: int) -> DataFrame:
-    """The k smallest structs ``s`` per ``a``, first within salted parts, then over the parts."""
-    part = near.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(16)))
-    some = part.groupBy("a", "salt").agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("best"))
-    return some.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    """The k smallest structs ``s`` per ``a``; the rank limit is applied before the shuffle as well."""
+    by_size = Window.partitionBy("a").orderBy("s")
+    kept = near.withColumn("r", F.row_number().over(by_size)).filter(F.col("r") <= k)
+    return kept.groupBy("a").agg(F.array_sort(F.collect_list("s")).alias("best"))
 
 
 # --- density surface -------------------------------------------------------------------------

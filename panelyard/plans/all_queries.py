@@ -13,6 +13,7 @@ from panelyard.plans import (  # noqa: F401
     serve_queries,
     spatial_queries,
     text_queries,
+    topic_queries,
 )
 from panelyard.plans.inputs import panel
 from panelyard.plans.registry import ORACLES, QUERIES  # noqa: F401
