@@ -152,13 +152,13 @@ def _score_all(open_names: DataFrame, canonical: DataFrame, max_listed: int) ->
         return open_names.withColumn("_best", best(F.col("_name"), F.col("_pool")))
 
     chunks = 64
-    listed = canonical.withColumn("_chunk", F.pmod(F.xxhash64("area_norm", "county_norm"), F.lit(chunks)))
+    listed = canonical.withColumn("_chunk", F.pmod(F.xxhash64("area_norm", "county_norm"), F.lit(chunks)).cast("int"))
     hinted = open_names.filter(F.col("_pool").isNotNull()).join(
         canonical.withColumnRenamed("county_norm", "_pool"), "_pool"
     )
     free = (
         open_names.filter(F.col("_pool").isNull())
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("long"))
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
         .join(listed, "_chunk")
     )
     columns = ["_name", "_hint", "_pool", "area_norm", "County", "SubCounty"]

@@ -88,10 +88,8 @@ def raw_tokens(text: Column) -> Column:
 
 def kept_tokens(tokens: Column, stopwords: Sequence[str], shortest: int = 3) -> Column:
     """Tokens that are words of some length and not stop words."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
     return F.filter(
-        tokens,
-        lambda w: (F.length(w) >= shortest) & ~w.rlike(r"^[\p{N}']+$") & ~F.array_contains(stop, w),
+        tokens, lambda w: (F.length(w) >= shortest) & ~w.rlike(r"^[\p{N}']+$") & ~w.isin(list(stopwords))
     )
 
 
@@ -194,8 +192,7 @@ def word_terms(
     """Keywords (over 2 letters) when there are any, else summary words (over 3 letters) without stop words."""
     from_keywords = F.filter(F.transform(F.split(F.lower(keywords), ","), strip), lambda t: F.length(t) > 2)
     words = F.split(F.regexp_replace(F.lower(summary), r"[^a-z\s]", " "), r"\s+")
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    from_summary = F.filter(words, lambda t: (F.length(t) > 3) & ~F.array_contains(stop, t))
+    from_summary = F.filter(words, lambda t: (F.length(t) > 3) & ~t.isin(list(stopwords)))
     return F.when(F.coalesce(keywords, F.lit("")) != "", from_keywords).otherwise(from_summary)
 
 
