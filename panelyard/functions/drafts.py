@@ -82,7 +82,7 @@ def first_date(c: Column, layouts: Sequence[str] = tuple(DATE_LAYOUTS)) -> Colum
 def dates_in(text: Column) -> Column:
     """Distinct sorted date texts."""
     hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DATE_TEXT), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(hits, squeeze)))
+    return F.sort_array(F.array_distinct(F.transform(hits, squeeze)))
 
 
 def sentence_with(text: Column, numbers: str, words: str) -> Column:
@@ -107,7 +107,7 @@ def is_lower_bound(sentence: Column) -> Column:
 
 def first_of(items: Column, k: int) -> Column:
     """The first ``k`` distinct items in sorted order."""
-    return F.slice(F.array_sort(F.array_distinct(items)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(items)), 1, k)
 
 
 def completeness_share(fields: Sequence[Column]) -> Column:

@@ -24,7 +24,7 @@ def matched_terms(text: Column, terms: Sequence[str], longest_first: bool = Fals
     """Sorted distinct lower-case terms found in the text, regardless of case."""
     listed = sorted(terms, key=len, reverse=True) if longest_first else list(terms)
     hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?iU)" + either(listed)), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(hits, F.lower)))
+    return F.sort_array(F.array_distinct(F.transform(hits, F.lower)))
 
 
 def domain_label(land: Column, water: Column) -> Column:
@@ -116,7 +116,7 @@ def with_lemmas(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> Data
     spread = df.select(key, F.posexplode(tokens).alias("_at", "word"))
     named = spread.join(lemmas.select("word", "lemma"), "word", "left")
     back = named.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_at", F.coalesce("lemma", "word").alias("w")))).alias("_seq")
+        F.sort_array(F.collect_list(F.struct("_at", F.coalesce("lemma", "word").alias("w")))).alias("_seq")
     )
     joined = df.drop(tokens).join(back, key, "left")
     return joined.withColumn(

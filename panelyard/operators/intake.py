@@ -47,9 +47,9 @@ def draft_rows(
     found = add_entities(numbered(read, order, "_number"), "_text", terms)
     places = F.concat(*[F.col(c) for c in ("entities_Place", "entities_River") if c in found.columns])
     parties = F.concat(*[F.col(c) for c in ("entities_Community", "entities_Institution") if c in found.columns])
-    spots = F.array_sort(F.array_distinct(places))
+    spots = F.sort_array(F.array_distinct(places))
     people = D.first_of(parties, 15)
-    keywords = F.array_sort(F.array_union(F.slice(spots, 1, 5), F.slice(people, 1, 5)))
+    keywords = F.sort_array(F.array_union(F.slice(spots, 1, 5), F.slice(people, 1, 5)))
     harm, flight = D.casualty_sentence(F.col("_text")), D.displacement_sentence(F.col("_text"))
     url = F.col("url")
     named = F.coalesce(F.nullif(F.col("source_name"), F.lit("")), D.host(url))

@@ -130,9 +130,11 @@ def quantile_bin(value: Column, edges: Column, low: int) -> Column:
 
 def tertiles(df: DataFrame, value: str, out: str = "risk_category", by: Sequence[str] = ()) -> DataFrame:
     """Low, Medium, High by tertiles; Lower, Higher when edges coincide; Uniform when all values agree."""
-    three = exact_quantiles(df, value, [0.0, 1 / 3, 2 / 3, 1.0], by, "_three")
-    two = exact_quantiles(df, value, [0.0, 0.5, 1.0], by, "_two")
-    with_edges = attach(attach(df, three, by), two, by)
+    cuts = exact_quantiles(df, value, [0.0, 1 / 3, 0.5, 2 / 3, 1.0], by, "_q")
+    q = F.col("_q")
+    with_edges = attach(df, cuts, by).withColumns(
+        {"_three": F.array(q[0], q[1], q[3], q[4]), "_two": F.array(q[0], q[2], q[4])}
+    ).drop("_q")
     v = F.col(value)
     third = quantile_bin(v, F.col("_three"), 0)
     half = quantile_bin(v, F.col("_two"), 0)

@@ -133,18 +133,20 @@ def add_conflict_features(
     days: float = fv.HALF_LIFE_DAYS,
     multiplier: float = fv.COMPOSITE_MULTIPLIER,
     date: str = "panel_date",
+    onset_events: DataFrame | None = None,
 ) -> DataFrame:
     """Onset flag, decayed persistence and severity-weighted persistence per grid row.
 
     Only events that start on or before the month start count, so later events
-    never change an earlier row. The onset flag looks at the whole month.
+    never change an earlier row. The onset flag looks at the whole month, and
+    at ``onset_events`` when those differ from the decayed ones.
     """
     measures = {
         "conflict_persistence": F.lit(1.0),
         "conflict_severity_weighted": F.coalesce(F.col(severity), F.lit(0.0)),
     }
     decayed = _decayed(grid, events, [area], start, composite, measures, days, multiplier, date)
-    return add_onset(decayed, events, area, start, date)
+    return add_onset(decayed, events if onset_events is None else onset_events, area, start, date)
 
 
 def add_onset(grid: DataFrame, events: DataFrame, area: str, start: str, date: str = "panel_date") -> DataFrame:

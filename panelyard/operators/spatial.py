@@ -155,7 +155,7 @@ def _smallest(near: DataFrame, k: int) -> DataFrame:
     """The k smallest structs ``s`` per ``a``; the rank limit is applied before the shuffle as well."""
     by_size = Window.partitionBy("a").orderBy("s")
     kept = near.withColumn("r", F.row_number().over(by_size)).filter(F.col("r") <= k)
-    return kept.groupBy("a").agg(F.array_sort(F.collect_list("s")).alias("best"))
+    return kept.groupBy("a").agg(F.sort_array(F.collect_list("s")).alias("best"))
 
 
 # --- density surface -------------------------------------------------------------------------

@@ -66,11 +66,10 @@ grid AS (
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Persistence over all incidents; onset over the rare ones."""
-    from panelyard.operators.panel import add_onset
-
     events = incidents(spark, d)
-    full = add_conflict_features(area_grid(spark, d), events, "area", "start", "severity", "composite")
-    return add_onset(full.drop("conflict_onset"), rare(events), "area", "start")
+    return add_conflict_features(
+        area_grid(spark, d), events, "area", "start", "severity", "composite", onset_events=rare(events)
+    )
 
 
 def decayed_sql(days: str = "180", group: str = "area", measures: str = "") -> str:

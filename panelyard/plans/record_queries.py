@@ -11,6 +11,7 @@ from panelyard.operators import dedupe as U
 from panelyard.operators import intake as I
 from panelyard.operators import records as R
 from panelyard.plans.registry import query, table
+from panelyard.session import checkpointed
 from panelyard.sources import tables as S
 
 
@@ -124,8 +125,29 @@ def dated_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "text", start.alias("start"), end.alias("end"))
 
 
+def twice_reported_turns(spark, d):
+    """Conversation turns as short summaries, each told again a week later with the words turned round."""
+    turns = table(spark, d, "conversations")
+    start = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("conv_id") % 500).cast("int"))
+    first = turns.select(
+        (F.col("conv_id") * 2000 + F.col("turn") * 2).alias("rid"), (F.col("conv_id") % 25).alias("area"), "text", start.alias("start"),
+        F.when(F.col("conv_id") % 3 != 0, F.date_add(start, (F.col("turn") * 9).cast("int"))).alias("end"),
+    )
+    again = F.concat_ws(" ", F.reverse(F.split("text", r"\s+")), F.lit("again"))
+    second = first.select(
+        (F.col("rid") + 1).alias("rid"), "area", again.alias("text"), F.date_add("start", 7).alias("start"), F.lit(None).cast("date").alias("end")
+    )
+    return first.unionByName(second)
+
+
 @query("near_dup_pairs")
 def near_dup_pairs(spark, d):
+    return U.near_duplicate_pairs(twice_reported_turns(spark, d), "rid", "text", "area", "start", "end")
+
+
+@query("near_dup_documents")
+def near_dup_documents(spark, d):
+    """The same over whole documents of any length."""
     return U.near_duplicate_pairs(dated_documents(spark, d), "doc_id", "text", "lang", "start", "end")
 
 
@@ -180,7 +202,7 @@ def intake_sides(spark, d):
 def jaccard_pairs(spark, d):
     """Record-level pairs of documents with benchmark passages (few per document)."""
     new_args, old = intake_sides(spark, d)
-    pairs = U.similar_pairs(U.intake_variants(*new_args), old)
+    pairs = U.similar_pairs(checkpointed(U.intake_variants(*new_args)), checkpointed(old))
     members = U.intake_members(*new_args).withColumnRenamed("representative", "a_record")
     return pairs.join(members.select("record", "a_record"), "a_record").select(
         "record", F.col("b_record").alias("other"), F.round("similarity", 6).alias("similarity")

@@ -45,6 +45,15 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer parts than cores, dealt out evenly; any other scan is left alone.
+
+    Few large row groups would otherwise keep costly text work in few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` is proven to hold at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
