@@ -96,7 +96,9 @@ def locate_points(
     found = hits.join(named, "area_id").select(
         "lon_num", "lat_num", *[F.col(a).alias(f"{prefix}_{a.lower()}") for a in attributes]
     )
-    return checked.join(found, ["lon_num", "lat_num"], "left")
+    # unusable points skip the join: their null keys would all meet in one task
+    usable = checked.filter("coord_status = 'ok'").join(found, ["lon_num", "lat_num"], "left")
+    return usable.unionByName(checked.filter("coord_status <> 'ok'"), allowMissingColumns=True)
 
 
 # --- nearest neighbours ----------------------------------------------------------------------

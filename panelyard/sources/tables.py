@@ -17,18 +17,18 @@ UNDEFINED_1252 = [0x81, 0x8D, 0x8F, 0x90, 0x9D]
 def read_csv_robust(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """All-string CSV; each file is read with the first encoding that can decode it.
 
-    Whether a file is valid UTF-8 is checked in the executors; only the list
-    of file names of each kind comes to the driver.
+    The check runs line by line over splittable scans (the text source keeps
+    raw bytes), so file size does not matter; only the list of file names of
+    each kind comes to the driver, as any reader call needs it there.
     """
-    files = spark.read.format("binaryFile").load(path)
+    lines = spark.read.text(path)
     bad_1252 = "[" + "".join(chr(b) for b in UNDEFINED_1252) + "]"
-    as_text = F.decode("content", "ISO-8859-1")
-    kind = (
-        F.when(F.is_valid_utf8(F.col("content").cast("string")), F.lit(ENCODINGS[0]))
-        .when(~as_text.rlike(bad_1252), F.lit(ENCODINGS[1]))
-        .otherwise(F.lit(ENCODINGS[2]))
+    byte_wise = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    per_file = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(byte_wise.rlike(bad_1252)).alias("odd")
     )
-    kinds = files.select("path", kind.alias("kind")).groupBy("kind").agg(F.collect_list("path").alias("paths")).collect()
+    kind = F.when(F.col("utf8"), ENCODINGS[0]).when(~F.col("odd"), ENCODINGS[1]).otherwise(ENCODINGS[2])
+    kinds = per_file.groupBy(kind.alias("kind")).agg(F.collect_list("path").alias("paths")).collect()
     parts = []
     for row in kinds:
         # Spark reads no windows-1252 directly; both single-byte kinds are read byte for byte
