@@ -93,8 +93,11 @@ def match_areas(
     hint = normalize_name(F.col(county)) if county else F.lit("")
     keyed = df.withColumns({"_name": normalize_name(F.col(area)), "_hint": hint})
     pairs = keyed.select("_name", "_hint").distinct().filter(F.col("_name") != "")
-    known = canonical.select(F.col("county_norm").alias("_hint")).distinct().withColumn("_county_known", F.lit(True))
-    asked = pairs.join(known, "_hint", "left")
+    if county:
+        known = canonical.select(F.col("county_norm").alias("_hint")).distinct().withColumn("_county_known", F.lit(True))
+        asked = pairs.join(known, "_hint", "left")
+    else:
+        asked = pairs.withColumn("_county_known", F.lit(None).cast("boolean"))
 
     exact_of = canonical.groupBy("area_norm", "county_norm").agg(F.min(F.struct("County", "SubCounty")).alias("_hit"))
     in_county = exact_of.select(

@@ -162,6 +162,13 @@ def add_entities(df: DataFrame, text: str, terms: dict[str, str] | None = None)
 
 # --- stop words and word frequencies ------------------------------------------------------
 
+def union_words(phrases: Sequence[str], *sources: DataFrame) -> DataFrame:
+    """Distinct words of listed phrases and of one-column word tables."""
+    words = sorted({w for phrase in phrases for w in phrase.lower().split()})
+    fixed = sources[0].sparkSession.createDataFrame([(w,) for w in words], "word string")
+    return reduce(DataFrame.unionByName, sources, fixed).distinct()
+
+
 def place_stopwords(
     df: DataFrame,
     entity_columns: Sequence[str] = ("entities_Place", "entities_River"),

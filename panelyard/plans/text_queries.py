@@ -411,6 +411,22 @@ def stopword_set(spark, d):
     return X.place_stopwords(X.add_entities(table(spark, d, "documents"), "text", PLACES))
 
 
+LISTED_STOP = ["Le la", "les DES", "of the and"]
+
+
+@query(
+    "stopword_union",
+    r"""WITH own AS (SELECT DISTINCT lower(regexp_extract(text, '^\s*(\S+)', 1)) AS word FROM benchmark)
+    SELECT word FROM own WHERE word <> '' UNION SELECT unnest(['le', 'la', 'les', 'des', 'of', 'the', 'and'])
+    UNION SELECT DISTINCT lang FROM documents""",
+)
+def stopword_union(spark, d):
+    """Opening words of the passages, listed words and language codes as one stop-word set."""
+    opening = table(spark, d, "benchmark").select(F.lower(F.regexp_extract("text", r"^\s*(\S+)", 1)).alias("word"))
+    langs = table(spark, d, "documents").select(F.col("lang").alias("word"))
+    return X.union_words(LISTED_STOP, opening.filter("word <> ''"), langs)
+
+
 VALENCES = [("the", 0.4), ("and", -0.3), ("nicht", -1.5), ("elle", 1.2), ("thon", 2.0), ("tion", -2.2), ("des", 0.7)]
 NEGATIONS = ["of", "un", "in"]
 

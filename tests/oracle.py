@@ -52,6 +52,10 @@ def connect(sf_dir):
 def compare(spark, con, sf_dir, name, fn, sql):
     t0 = time.time()
     df = fn(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for wrong in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if wrong in plan:
+            return False, f"the plan has a {wrong}"
     rows = [tuple(r) for r in df.collect()]
     t1 = time.time()
     cols, got = sorted_rows(df.columns, rows)

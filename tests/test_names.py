@@ -67,3 +67,12 @@ def test_report_and_missing(spark):
     matched = N.match_areas(df, "raw", canonical)
     assert {(r["match_method"], r["n"]) for r in N.match_report(matched).collect()} == {("exact", 2), ("unmatched", 1)}
     assert N.areas_without_match(canonical, matched).count() == len(AREAS) - 1
+
+
+def test_early_exit_only_when_out_of_reach():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 200))) for _ in range(2))
+        true = dp_lcs(a, b)
+        assert S.common_subsequence(a, b, true) == true
+        assert S.common_subsequence(a, b, true + 1) in (-1, true)
