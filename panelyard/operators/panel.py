@@ -9,7 +9,6 @@ there is no join of events with later months.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,40 +86,40 @@ def _decayed(
     multiplier: float,
     date: str,
 ) -> DataFrame:
-    """Decayed running sums of ``measures`` for every row of ``grid``, 0 before the first event."""
-    span = grid.agg(F.min(date).alias("a"), F.max(date).alias("b")).first()
-    origin, last = span["a"] or dt.date(2000, 1, 1), span["b"] or dt.date(2000, 1, 1)
-    if (last - origin).days / float(days) > 900:
-        raise ValueError("the grid spans more half-lives than a double can hold; split it by period")
+    """Decayed running sums of ``measures`` for every row of ``grid``, 0 before the first event.
+
+    Months with events outside the grid take part in the running sum and are
+    dropped afterwards; exponents count from the first month of the key.
+    """
     begin = F.to_date(start)
-    counted_at = F.greatest(first_month_from(begin), F.lit(origin))
-    life = half_life(F.col("_slow"), days, multiplier)
-    known = (
-        events.filter(F.col(start).isNotNull() & (first_month_from(begin) <= F.lit(last)))
-        .withColumns({"_slow": F.coalesce(F.col(composite), F.lit(False)), "_at": counted_at})
+    known = events.filter(F.col(start).isNotNull()).withColumns(
+        {"_slow": F.coalesce(F.col(composite), F.lit(False)), "_at": first_month_from(begin)}
     )
-    weight = decay_weight(F.datediff("_at", begin), life)
-    per_month = (
-        known.groupBy(*keys, "_at", "_slow")
-        .agg(*[F.sum(weight * c).alias(n) for n, c in measures.items()])
-        .groupBy(*keys, F.col("_at").alias(date))
-        .agg(
-            *[F.sum(F.when(F.col("_slow") == slow, F.col(n))).alias(f"_{n}_{tag}")
-              for n in measures for tag, slow in (("quick", False), ("slow", True))]
-        )
+    weight = decay_weight(F.datediff("_at", begin), half_life(F.col("_slow"), days, multiplier))
+    lives = {"quick": float(days), "slow": float(days) * float(multiplier)}
+    per_month = known.groupBy(*keys, F.col("_at").alias(date)).agg(
+        *[
+            F.sum(F.when(F.col("_slow") == F.lit(tag == "slow"), weight * c)).alias(f"_{n}_{tag}")
+            for n, c in measures.items() for tag in lives
+        ]
     )
-    offset = F.datediff(date, F.lit(origin))
-    so_far = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    by_key = Window.partitionBy(*keys)
+    so_far = by_key.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    joined = grid.withColumn("_asked", F.lit(True)).join(per_month, [*keys, date], "full_outer")
+    timed = joined.withColumn("_offset", F.datediff(date, F.min(date).over(by_key)))
+    too_long = F.raise_error(F.lit("the months span more half-lives than a double can hold; split them by period"))
+    for tag, life in lives.items():
+        halvings = F.col("_offset") / F.lit(life)
+        timed = timed.withColumn(f"_up_{tag}", F.when(halvings < 900, F.exp(F.lit(LN2) * halvings)).otherwise(too_long.cast("double")))
     sums = {}
     for n in measures:
-        parts = []
-        for tag, factor in (("quick", 1.0), ("slow", float(multiplier))):
-            up = F.exp(F.lit(LN2) * offset / F.lit(days * factor))
-            total = F.sum(F.coalesce(F.col(f"_{n}_{tag}"), F.lit(0.0)) * up).over(so_far)
-            parts.append(total / up)
+        parts = [
+            F.sum(F.coalesce(F.col(f"_{n}_{tag}"), F.lit(0.0)) * F.col(f"_up_{tag}")).over(so_far) / F.col(f"_up_{tag}")
+            for tag in lives
+        ]
         sums[n] = parts[0] + parts[1]
-    joined = grid.join(per_month, [*keys, date], "left")
-    return joined.select(*grid.columns, *[c.alias(n) for n, c in sums.items()])
+    summed = timed.select("_asked", *grid.columns, *[c.alias(n) for n, c in sums.items()])
+    return summed.filter("_asked").drop("_asked")
 
 
 def add_conflict_features(

@@ -98,8 +98,8 @@ def test_partitioning_does_not_matter(grid, events):
 def test_no_event_and_overflow_guard(spark, grid, events):
     none = events.filter("area = 'zzz'")
     assert {r[0] for r in P.add_conflict_features(grid, none, "area", "start", "severity", "composite").select("conflict_persistence").collect()} == {0.0}
-    with pytest.raises(ValueError):
-        P.add_conflict_features(grid, events, "area", "start", "severity", "composite", days=0.1)
+    with pytest.raises(Exception, match="more half-lives"):
+        P.add_conflict_features(grid, events, "area", "start", "severity", "composite", days=0.1).collect()
 
 
 def test_static_and_monthly(spark, grid):
