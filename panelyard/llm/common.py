@@ -5,14 +5,18 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.session import parallelism, scratch_path
 
-#: Chunks kept per worker, and the longest one worth keeping: about 60 MB at most.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+#: Units a worker keeps, and the longest one worth keeping.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Chunks and cores an encoder keeps: about 250 MB at most when both are full.
+CHUNKS_KEPT, CORES_KEPT = 400_000, 1_000_000
 
 
 def whole_text(name: str = "text") -> Column:
@@ -68,40 +72,79 @@ def cut_before_spaces(text: str) -> list[str]:
     return _SPACED.findall(text)
 
 
-def cut_at_blanks(text: str) -> list[str]:
-    """Chunks between blanks, for vocabularies that drop white space."""
-    return text.split(" ")
+#: Signs for which str.split() parts words, although they are no white space there.
+_FALSE_SPACES = re.compile("[\x1c-\x1f]")
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """Chunks between white space, for vocabularies that drop it."""
+    return text.split(" ") if _FALSE_SPACES.search(text) else text.split()
+
+
+#: Signs that never join a letter or digit before them.
+_TAIL = ".,;:!?#$%&*"
 
 
 class ChunkEncoder(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes, chunk by chunk.
 
-    The library encodes each chunk it has not met lately; frequent chunks come
-    from a bounded table. ``cut`` must cut only where no token can cross.
+    The library encodes each chunk it has not met lately, without the signs at
+    its end; frequent chunks come from a bounded table. ``blanks`` is for
+    vocabularies that drop white space and case. Chunks end only where no token
+    of either kind of vocabulary can cross.
     """
 
-    def __init__(self, path: str, cut) -> None:
+    def __init__(self, path: str, blanks: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.cut = Tokenizer.from_file(path), cut
-
-    def __missing__(self, chunk: str) -> bytes:
-        import numpy as np
-
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut(text)))
+        self.cores: dict[str, bytes] = {}
+        self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
+        self.cut = cut_at_spaces if blanks else cut_before_spaces
+
+    def _parts(self, chunk: str) -> tuple[str, str]:
+        if not self.blanks and chunk[-1] not in _TAIL:
+            return chunk, ""
+        core = chunk.rstrip(_TAIL)
+        if core != chunk and not (core and core[-1].isalnum() and core[-1] < "\u0250"):
+            core = chunk
+        return (core.lower() if self.blanks and core.isascii() and "<" not in core else core), chunk[len(core) :]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Fills the table with the chunks it lacks; the library sees each core once as long as the cores fit."""
+        new = chunks.difference(self)
+        if len(self) + len(new) > CHUNKS_KEPT:
+            self.clear()
+            new = chunks
+        parts = list(map(self._parts, new))
+        every = set().union(*parts)
+        wanted = every.difference(self.cores)
+        if len(self.cores) + len(wanted) > CORES_KEPT:
+            self.cores.clear()
+            wanted = every
+        wanted = list(wanted)
+        for part, found in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
+            self.cores[part] = array("I", found.ids).tobytes()
+        cores = self.cores
+        for chunk, (core, tail) in zip(new, parts):
+            self[chunk] = cores[core] + cores[tail] if tail else cores[core]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, learning from about a megabyte of texts at a time."""
+        at = 0
+        while at < len(texts):
+            held, chars = [], 0
+            while at < len(texts) and chars < 1 << 20:
+                held.append(self.cut(texts[at]))
+                chars += len(texts[at])
+                at += 1
+            self.learn(set().union(*held))
+            for chunks in held:
+                yield b"".join(map(self.__getitem__, chunks))
 
 
 @functools.lru_cache(maxsize=4)
 def chunk_encoder(path: str, blanks: bool) -> ChunkEncoder:
-    """The encoder of this worker; ``blanks`` for vocabularies that drop white space."""
-    return ChunkEncoder(path, cut_at_blanks if blanks else cut_before_spaces)
+    """The encoder of this worker."""
+    return ChunkEncoder(path, blanks)

@@ -37,8 +37,8 @@ def cut_pieces(
 
         for batch in batches:
             rows, held = [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
+            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for at in range(0, total, capacity):
                     piece = ids[4 * at : 4 * (at + capacity)]

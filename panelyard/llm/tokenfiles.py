@@ -31,7 +31,7 @@ def write_token_files(
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 500):
-                rows = [encoder.encode(t) + end for t in texts.slice(at, 500).to_pylist()]
+                rows = [ids + end for ids in encoder.encode(texts.slice(at, 500).to_pylist())]
                 ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), ids], names=["doc_id", "ids"])
