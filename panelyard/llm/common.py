@@ -107,7 +107,7 @@ class ChunkEncoder(dict):
         if not self.blanks and chunk[-1] not in _TAIL:
             return chunk, ""
         core = chunk.rstrip(_TAIL)
-        if core != chunk and not (core and core[-1].isalnum() and core[-1] < "\u0250"):
+        if core != chunk and not (core and core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "İ"):
             core = chunk
         return (core.lower() if self.blanks and core.isascii() and "<" not in core else core), chunk[len(core) :]
 

@@ -44,6 +44,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.toxicity import fit, held_out, passages
+
+    docs = table(spark, sf_dir, "documents")
+    found = passages(docs, fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.tokenfiles import token_spans, write_token_files
