@@ -55,6 +55,23 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> Data
     return placed.select(*df.columns, (F.col("_before") + F.col("_within") - 1).alias(out))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, missing: bool = False) -> DataFrame:
+    """``rows`` with the columns of their group; with ``missing``, the rows that have no group, without those columns.
+
+    ``groups`` has one row per key and its rows in ``size``. The groups of more
+    than 1/200 of all rows, 200 at most, meet their rows without a shuffle, so
+    that no join partition holds a hot group.
+    """
+    large = F.col(size) > max(100, total // 200)
+    hot = F.broadcast(groups.filter(large).withColumn("_hot", F.lit(True)))
+    met = rows.join(hot, key, "left")
+    rest = met.filter("_hot is null").select(*rows.columns)
+    if missing:
+        return rest.join(groups.select(key), key, "left_anti")
+    columns = [*rows.columns, *[c for c in groups.columns if c != key]]
+    return met.filter("_hot is not null").select(*columns).unionByName(rest.join(groups.filter(~large), key).select(*columns))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

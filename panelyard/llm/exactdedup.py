@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import whole_text, written
+from panelyard.llm.common import join_groups, whole_text, written
 
 #: Digests a bucket of the index holds on average.
 PER_BUCKET = 50_000
@@ -179,16 +179,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they agree after lower-casing A-Z; null is the empty
     text. The largest id of a group is kept; rows repeating that id are all
-    kept. Null ids are never the largest. An empty table gives no rows. The
-    few digests of more than 1/200 of the rows meet their group without a
-    shuffle (200 at most), the others through a join.
+    kept. Null ids are never the largest. An empty table gives no rows.
     """
     rows = written(digests(docs, id_col, text_col), "digests")
     n = rows.count()
     content = written(insert_digests(rows, buckets_for(n)).drop("bucket"), "live")
-    hot = content.filter(F.col("group_size") > max(100, n // 200))
-    found = rows.join(F.broadcast(hot.select("digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))), "digest", "left")
-    crowd = found.filter("_size is not null").select("doc_id", "digest", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"))
-    rest = found.filter("_size is null").select("doc_id", "digest").join(content, "digest")
-    every = crowd.unionByName(rest.select("doc_id", "digest", "keep_id", "group_size"))
+    every = join_groups(rows, content, "digest", "group_size", n)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("doc_id", id_col)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import whole_text, written
+from panelyard.llm.common import join_groups, whole_text, written
 from panelyard.operators.graph import connected_components
 
 BANDS, ROWS = 32, 4
@@ -243,10 +243,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         comps = connected_components(weight, links.unionByName(late), "node")
     known = folded.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("_component"), "copies")
     known = written(known, "known")
-    hot = known.filter(F.col("copies") > max(100, n_rows // 200)).select("digest", F.col("_component").alias("_hot"))
-    light = signed.select("doc_id", "n_shingles", "digest").join(F.broadcast(hot), "digest", "left")
-    crowd = light.filter("_hot is not null").select("doc_id", "n_shingles", F.col("_hot").alias("_component"))
-    rest = light.filter("_hot is null").join(known.select("digest", "_component"), "digest", "left").select("doc_id", "n_shingles", "_component")
-    every = crowd.unionByName(rest).withColumn("component_id", F.coalesce("_component", "doc_id"))
+    light = signed.select("doc_id", "n_shingles", "digest")
+    alone = light.filter("digest is null").withColumn("_component", F.lit(None).cast("long"))
+    every = join_groups(light.filter("digest is not null"), known, "digest", "copies", n_rows).drop("copies").unionByName(alone)
+    every = every.withColumn("component_id", F.coalesce("_component", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return every.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))

@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
 @query("op2_near_dedup")
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.minhash import near_groups
