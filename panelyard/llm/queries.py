@@ -66,7 +66,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.tokenfiles import token_spans, write_token_files
 
     path = scratch_path(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2, blanks=True)
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_spans(spark, path)
 
 
@@ -103,3 +103,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.decontam import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Verdict and rule, as the contract of the query gives them.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
