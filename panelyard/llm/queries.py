@@ -70,6 +70,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans(spark, path)
 
 
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.htmltext import main_text
+
+    pages = main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.packing import cut_pieces, place_pieces
