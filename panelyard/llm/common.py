@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
+import unicodedata
 from array import array
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +15,6 @@ from panelyard.session import parallelism, scratch_path
 
 #: Units a worker keeps, and the longest one worth keeping.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
-#: Chunks and cores an encoder keeps: about 250 MB at most when both are full.
-CHUNKS_KEPT, CORES_KEPT = 400_000, 1_000_000
 
 
 def whole_text(name: str = "text") -> Column:
@@ -81,87 +79,82 @@ def tokenizer_path(name: str) -> str:
 
 #: White space in the sense of Unicode's White_Space.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACED = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
+#: The split of byte-level vocabularies, and that of vocabularies with word ends (fixed values).
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_END_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-def cut_before_spaces(text: str) -> list[str]:
-    """Chunks of leading white space and what follows it; byte-level vocabularies join nothing across the cuts."""
-    return _SPACED.findall(text)
 
+def _symbols() -> dict[str, int]:
+    """The visible sign of each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
-#: Signs for which str.split() parts words, although they are no white space there.
-_FALSE_SPACES = re.compile("[\x1c-\x1f]")
 
+class IdEncoder:
+    """Token ids of a text as little-endian unsigned 32-bit bytes, as the tokenizers library gives them.
 
-def cut_at_spaces(text: str) -> list[str]:
-    """Chunks between white space, for vocabularies that drop it."""
-    return text.split(" ") if _FALSE_SPACES.search(text) else text.split()
-
-
-#: Signs that never join a letter or digit before them.
-_TAIL = ".,;:!?#$%&*"
-
-
-class ChunkEncoder(dict):
-    """Token ids of texts as little-endian unsigned 32-bit bytes, chunk by chunk.
-
-    The library encodes each chunk it has not met lately, without the signs at
-    its end; frequent chunks come from a bounded table. ``blanks`` is for
-    vocabularies that drop white space and case. Chunks end only where no token
-    of either kind of vocabulary can cross.
+    Two kinds of vocabulary are run by tiktoken's merges, which are the same
+    and several times faster: byte-level ones whose ids follow the order of
+    merges, and ones with word ends, where a blank behind each word stands for
+    the end sign and merges first. Texts with special strings, and all other
+    vocabularies, go through the library.
     """
 
-    def __init__(self, path: str, blanks: bool) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.cores: dict[str, bytes] = {}
-        self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
-        self.cut = cut_at_spaces if blanks else cut_before_spaces
-
-    def _parts(self, chunk: str) -> tuple[str, str]:
-        if not self.blanks and chunk[-1] not in _TAIL:
-            return chunk, ""
-        core = chunk.rstrip(_TAIL)
-        if core != chunk and not (core and core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "İ"):
-            core = chunk
-        return (core.lower() if self.blanks and core.isascii() and "<" not in core else core), chunk[len(core) :]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Fills the table with the chunks it lacks; the library sees each core once as long as the cores fit."""
-        new = chunks.difference(self)
-        if len(self) + len(new) > CHUNKS_KEPT:
-            self.clear()
-            new = chunks
-        parts = list(map(self._parts, new))
-        every = set().union(*parts)
-        wanted = every.difference(self.cores)
-        if len(self.cores) + len(wanted) > CORES_KEPT:
-            self.cores.clear()
-            wanted = every
-        wanted = list(wanted)
-        for part, found in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.cores[part] = array("I", found.ids).tobytes()
-        cores = self.cores
-        for chunk, (core, tail) in zip(new, parts):
-            self[chunk] = cores[core] + cores[tail] if tail else cores[core]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, learning from about a megabyte of texts at a time."""
-        at = 0
-        while at < len(texts):
-            held, chars = [], 0
-            while at < len(texts) and chars < 1 << 20:
-                held.append(self.cut(texts[at]))
-                chars += len(texts[at])
-                at += 1
-            self.learn(set().union(*held))
-            for chunks in held:
-                yield b"".join(map(self.__getitem__, chunks))
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.ids, self.prepare = None, str
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout") or model.get("continuing_subword_prefix"):
+            return
+        end, kind = model.get("end_of_word_suffix"), [(spec["normalizer"] or {}).get("type"), pre.get("type")]
+        if not end and kind == [None, "ByteLevel"] and pre.get("use_regex") and not pre.get("add_prefix_space"):
+            self._fast(model, "", BYTE_LEVEL_SPLIT)
+        elif end and kind == ["Sequence", "Sequence"]:
+            rules = [n.get("type") for n in spec["normalizer"]["normalizers"]]
+            splits = [p.get("pattern", {}).get("Regex") for p in pre["pretokenizers"]]
+            if rules == ["NFC", "Replace", "Lowercase"] and splits == [WORD_END_SPLIT, None]:
+                import regex
+
+                self._fast(model, end, "[^ ]+ ")
+                words = regex.compile(WORD_END_SPLIT)
+                # a capital sigma lower-cases by itself, not by its place in the word
+                self.prepare = lambda text: " ".join(words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())) + " "
+
+    def _fast(self, model: dict, end: str, split: str) -> None:
+        import tiktoken
+
+        sign = _symbols()
+
+        def raw(token: str) -> bytes:
+            tail = b" " if end and token.endswith(end) else b""
+            return bytes(sign[c] for c in (token[: -len(end)] if tail else token)) + tail
+
+        special = set(self.special)
+        ranks = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"].get("".join(m)) for m in merges]
+        singles = max(ranks[bytes([b])] for b in range(256) if bytes([b]) in ranks)
+        ends = max((ranks.get(bytes([b, 32]), 0) for b in range(256) if b != 32), default=0) if end else singles
+        # ids must rise with the merges, behind all single bytes and their word ends
+        if None in order or order != sorted(order) or order[0] <= max(singles, ends) or any(bytes([b]) not in ranks for b in range(256)):
+            return
+        self.ids = tiktoken.Encoding("local", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.ids is None or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.ids.encode_to_numpy(self.prepare(text), disallowed_special=()).astype("<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=4)
-def chunk_encoder(path: str, blanks: bool) -> ChunkEncoder:
+def id_encoder(path: str) -> IdEncoder:
     """The encoder of this worker."""
-    return ChunkEncoder(path, blanks)
+    return IdEncoder(path)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import chunk_encoder, numbered, whole_text
+from panelyard.llm.common import id_encoder, numbered, whole_text
 
 #: Bytes of ids after which a batch of pieces is handed on.
 _HAND_ON = 4 << 20
@@ -15,7 +15,7 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 def cut_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, blanks: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The ids of every document with its end id, cut into full windows and the rest.
 
@@ -28,7 +28,7 @@ def cut_pieces(
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = chunk_encoder(tokenizer, blanks)
+        encoder = id_encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         names, kinds = [x.split()[0] for x in PIECES.split(", ")], [pa.int64()] * 4 + [pa.binary()]
 
@@ -37,8 +37,8 @@ def cut_pieces(
 
         for batch in batches:
             rows, held = [], 0
-            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                ids += end
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encoder.encode(text.as_py()) + end
                 total = len(ids) // 4
                 for at in range(0, total, capacity):
                     piece = ids[4 * at : 4 * (at + capacity)]
@@ -165,8 +165,8 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...]
     return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, blanks: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """Packed pieces with their ids: documents are encoded, cut and placed; stored once on the way."""
     from panelyard.llm.common import written
 
-    return place_pieces(written(cut_pieces(docs, tokenizer, capacity, end_id, blanks), "pieces"), capacity)
+    return place_pieces(written(cut_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import chunk_encoder, whole_text
+from panelyard.llm.common import id_encoder, whole_text
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, blanks: bool, id_col: str = "doc_id", text_col: str = "text", stripe_mb: int = 32, stride: int = 1000
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_mb: int = 32, stride: int = 1000
 ) -> None:
     """Writes (doc_id, ids) as ORC: files, stripes and rows ascend by document id.
 
@@ -27,11 +27,11 @@ def write_token_files(
         import numpy as np
         import pyarrow as pa
 
-        encoder, end = chunk_encoder(tokenizer, blanks), end_id.to_bytes(4, "little")
+        encoder, end = id_encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 500):
-                rows = [ids + end for ids in encoder.encode(texts.slice(at, 500).to_pylist())]
+                rows = [encoder.encode(t) + end for t in texts.slice(at, 500).to_pylist()]
                 ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), ids], names=["doc_id", "ids"])
