@@ -210,3 +210,9 @@ def leaks(
 
 def _empty(docs: DataFrame, id_col: str, item_col: str) -> DataFrame:
     return docs.sparkSession.createDataFrame([], f"{id_col} long, {item_col} long, hits long, equal_hits long, windows long, start int, end int")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns that hold no benchmark item; rows with a null id stay."""
+    gone = written(leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_gone")).distinct(), "leaks")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

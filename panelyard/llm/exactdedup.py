@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import join_groups, whole_text, written
@@ -174,6 +174,13 @@ def _changed(rows: DataFrame, content: DataFrame | None, change) -> DataFrame:
     return content.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(both, CONTENT)
 
 
+def _live(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """The digest of every row, the content of the index over them, and the number of rows."""
+    rows = written(digests(docs, id_col, text_col), "digests")
+    n = rows.count()
+    return rows, written(insert_digests(rows, buckets_for(n)).drop("bucket"), "live"), n
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its group: doc_id, digest, keep_id, group_size, kept.
 
@@ -181,8 +188,39 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text. The largest id of a group is kept; rows repeating that id are all
     kept. Null ids are never the largest. An empty table gives no rows.
     """
-    rows = written(digests(docs, id_col, text_col), "digests")
-    n = rows.count()
-    content = written(insert_digests(rows, buckets_for(n)).drop("bucket"), "live")
+    rows, content, n = _live(docs, id_col, text_col)
     every = join_groups(rows, content, "digest", "group_size", n)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("doc_id", id_col)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of equal texts: that with the largest id.
+
+    Of rows that agree in id and text one stays, whichever; a group without any
+    id keeps one row too.
+    """
+    rows, content, n = _live(docs, id_col, text_col)
+    names = docs.columns
+
+    def tagged(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            out = [hashlib.sha256(t.as_buffer().to_pybytes().lower()).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "_digest"])
+
+    # columns are carried by place, so their names cannot clash
+    carried = docs.toDF(*[f"_c{k}" for k in range(len(names))])
+    own = f"_c{names.index(id_col)}"
+    whole = carried.withColumn("_text", whole_text(f"_c{names.index(text_col)}").cast("binary"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried.schema)
+    marked = whole.mapInArrow(tagged, f"{kinds}, _digest binary")
+    kept = join_groups(marked, content.withColumnRenamed("digest", "_digest"), "_digest", "group_size", n)
+    kept = kept.filter(F.col(own).cast("long").eqNullSafe(F.col("keep_id")))
+    if not rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        same = Window.partitionBy("_digest").orderBy(own)
+        kept = kept.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
+    return kept.select(*[f"_c{k}" for k in range(len(names))]).toDF(*names)

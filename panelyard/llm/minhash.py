@@ -249,3 +249,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     every = every.withColumn("component_id", F.coalesce("_component", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return every.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group: that with the smallest id.
+
+    Rows that share an id share the decision and stay if one of them stays;
+    rows with a null id stay.
+    """
+    groups = written(near_groups(docs, width, percent, id_col, text_col).select(F.col(id_col).alias("_gone"), "kept"), "groups")
+    gone = groups.groupBy("_gone").agg(F.max("kept").alias("kept")).filter("not kept").select("_gone")
+    gone = written(gone, "gone")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

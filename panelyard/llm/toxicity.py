@@ -260,3 +260,22 @@ def passages(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(scored, f"id {kind}, score double, passages array<struct<start:int,end:int,evidence:double>>").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged and unmoved, whose score is below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        scorer, rule = _scorer(id(shared), shared)
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                scores = scorer.of(text or "")
+                keep.append(rule.score(rule.evidence(segments(scores), len(scores))) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
