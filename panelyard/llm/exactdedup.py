@@ -12,6 +12,8 @@ from panelyard.llm.common import join_groups, whole_text, written
 #: Digests a bucket of the index holds on average.
 PER_BUCKET = 50_000
 _SLOTS, _KICKS = 4, 200
+#: Stands for a group without any id, below all ids.
+_NO_ID = -(2**63)
 CONTENT = "bucket int, digest binary, keep_id long, group_size long"
 
 
@@ -158,6 +160,10 @@ def delete_digests(rows: DataFrame, buckets: int, content: DataFrame) -> DataFra
 def _changed(rows: DataFrame, content: DataFrame | None, change) -> DataFrame:
     import pandas as pd
 
+    # a null would turn the ids of its bucket into floats
+    rows = rows.withColumn("keep_id", F.coalesce("keep_id", F.lit(_NO_ID)))
+    content = content.withColumn("keep_id", F.coalesce("keep_id", F.lit(_NO_ID))) if content is not None else None
+
     def run(index: LiveIndex, frame: pd.DataFrame, bucket: int) -> pd.DataFrame:
         for d, i, n in zip(frame["digest"], frame["keep_id"], frame["group_size"]):
             change(index, bytes(d), int(i), int(n))
@@ -165,13 +171,17 @@ def _changed(rows: DataFrame, content: DataFrame | None, change) -> DataFrame:
         return pd.DataFrame(out, columns=["bucket", "digest", "keep_id", "group_size"])
 
     if content is None:
-        return rows.groupBy("bucket").applyInPandas(lambda key, frame: run(LiveIndex(keys=len(frame)), frame, key[0]), CONTENT)
+        return _nulled(rows.groupBy("bucket").applyInPandas(lambda key, frame: run(LiveIndex(keys=len(frame)), frame, key[0]), CONTENT))
 
     def both(key, held: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         stored = {bytes(d): [int(i), int(n)] for d, i, n in zip(held["digest"], held["keep_id"], held["group_size"])}
         return run(LiveIndex(stored), frame, key[0])
 
-    return content.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(both, CONTENT)
+    return _nulled(content.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(both, CONTENT))
+
+
+def _nulled(content: DataFrame) -> DataFrame:
+    return content.withColumn("keep_id", F.nullif("keep_id", F.lit(_NO_ID)))
 
 
 def _live(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
