@@ -44,33 +44,54 @@ def propagate(blocks: DataFrame, total: int, shards: int, max_rounds: int = MAX_
     ``blocks`` has a row (group, shard, n) per group and shard it touches; rows
     of one group and shard are neighbours with the same wish, so a group of any
     size is at most ``shards`` rows and its links are never listed. In each
-    round a block asks for the shard with most of its neighbours that still has
-    room; a shard grants requests with the largest gain first, as far as its
-    quota goes, and splits the last. Rounds end when nothing moves. The cut
-    edges only fall: rows move to shards with more of their group.
+    round a block asks for the shard with most of its neighbours; of equal ones
+    the hash of group and round decides. Between two shards as many rows move
+    one way as the other, and more as far as the quota has room. The largest
+    gains go first and the last block is split. When no such move is left,
+    blocks ask for the best shard with room. Rounds end when neither moves a
+    row. Cut edges only fall: rows join blocks at least as large as their own.
     """
-    blocks = written(blocks, "blocks")
-    for _ in range(max_rounds):
-        room = F.array(*[F.lit(x).cast("long") for x in _free(blocks, total, shards)])
-        # the group's fullest shard that has room
-        order = F.struct(F.col("n"), (-F.col("shard")).alias("shard"))
-        wish = blocks.filter(F.get(room, F.col("shard")) > 0).groupBy("group").agg(F.max(order).alias("w"))
-        wish = wish.select("group", F.col("w.n").alias("there"), (-F.col("w.shard")).alias("to"))
-        better = (F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (F.col("shard") > F.col("to")))
-        ask = blocks.join(wish, "group").filter((F.col("shard") != F.col("to")) & better)
+    blocks, still = written(blocks, "blocks"), 0
+    for turn in range(max_rounds):
+        free = _free(blocks, total, shards)
+        asked = blocks if not still else blocks.filter(F.get(F.array(*[F.lit(x).cast("long") for x in free]), F.col("shard")) > 0)
+        draw = F.xxhash64("group", "shard", F.lit(turn))
+        wish = asked.groupBy("group").agg(F.max(F.struct(F.col("n"), draw.alias("draw"), F.col("shard"))).alias("w"))
+        wish = wish.select("group", F.col("w.n").alias("there"), F.col("w.shard").alias("to"))
+        ask = blocks.join(wish, "group").filter((F.col("shard") != F.col("to")) & (F.col("n") <= F.col("there")))
         gain = F.col("there") - F.col("n")
         level = -F.least(F.lit(LEVELS), F.floor(F.log2(gain + 1))).cast("int")
-        ask = _running(ask.withColumn("level", level), "to", "level", "n", "ahead")
-        moves = F.greatest(F.lit(0), F.least(F.col("n"), F.get(room, F.col("to")) - F.col("ahead")))
+        ask = written(ask.select("group", "shard", "to", "n", (F.col("shard") * shards + F.col("to")).alias("way"), level.alias("level")), "asked")
+        # one number per pair of shards
+        wanted = {r["way"]: r["n"] for r in ask.groupBy("way").agg(F.sum("n").alias("n")).collect()}
+        allowed = F.array(*[F.lit(x).cast("long") for x in _flows(wanted, free, shards)])
+        ask = _running(ask, "way", "level", "n", "ahead")
+        moves = F.greatest(F.lit(0), F.least(F.col("n"), F.get(allowed, F.col("way")) - F.col("ahead")))
         moved = written(ask.withColumn("moves", moves).filter("moves > 0").select("group", "shard", "to", "moves"), "moves")
-        if moved.isEmpty():
+        still = still + 1 if moved.isEmpty() else 0
+        if still == 2:
             break
+        if still:
+            continue
         gone = moved.select("group", "shard", (-F.col("moves")).alias("n"))
         come = moved.select("group", F.col("to").alias("shard"), F.col("moves").alias("n"))
         blocks = written(blocks.unionByName(gone).unionByName(come).groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "blocks")
     return blocks
 
 
+def _flows(wanted: dict[int, int], free: list[int], shards: int) -> list[int]:
+    """Rows that may move from shard i to shard j, at place i * shards + j: exchanges of equal numbers, then room in turn."""
+    want = [wanted.get(k, 0) for k in range(shards * shards)]
+    flow = [min(want[i * shards + j], want[j * shards + i]) for i in range(shards) for j in range(shards)]
+    for j in range(shards):
+        room = free[j]
+        for i in range(shards):
+            more = min(room, want[i * shards + j] - flow[i * shards + j])
+            flow[i * shards + j] += more
+            room -= more
+    return flow
+
+
 def _free(blocks: DataFrame, total: int, shards: int) -> list[int]:
     """Rows each shard may still take; quotas differ by one at most. One row per shard reaches the driver."""
     held = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
