@@ -7,6 +7,8 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,10 +24,28 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of 8 MB for Python workers: long texts would else fill buffers outside the heap."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(8 << 20))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below spark.checkpoint.dir and read again: lineage ends, sizes are known to the planner."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

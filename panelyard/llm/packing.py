@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_encoder, numbered, whole_text
+from panelyard.llm.common import id_encoder, numbered, whole_text, written
 
 #: Bytes of ids after which a batch of pieces is handed on.
 _HAND_ON = 4 << 20
@@ -167,6 +167,4 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...]
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """Packed pieces with their ids: documents are encoded, cut and placed; stored once on the way."""
-    from panelyard.llm.common import written
-
     return place_pieces(written(cut_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_encoder, whole_text
+from panelyard.llm.common import id_encoder, small_batches, whole_text, written
 
 
 def write_token_files(
@@ -42,7 +42,8 @@ def write_token_files(
         "orc.compress": "ZSTD", "orc.stripe.size": str(stripe_mb << 20), "orc.row.index.stride": str(stride), "orc.create.index": "true",
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
     }
-    ranged.mapInArrow(encoded, "doc_id long, ids array<int>").write.options(**options).orc(path)
+    with small_batches(docs.sparkSession):
+        ranged.mapInArrow(encoded, "doc_id long, ids array<int>").write.options(**options).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +79,6 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
     number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
     rows = read_token_files(spark, path).select("doc_id", "ids", number.alias("file"), F.monotonically_increasing_id().alias("place"))
     light = rows.mapInArrow(digested, "doc_id long, file long, place long, n_tokens long, ids_crc32 long")
-    from panelyard.llm.common import written
-
     light = written(light, "spans")
     files = light.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
