@@ -116,7 +116,7 @@ def clean_incidents(df: DataFrame) -> DataFrame:
 
 
 def _undo_double_encoding(text: str) -> str:
-    for _ in range(5):
+    while True:  # each round shortens the text
         for wrong in ("cp1252", "latin-1"):
             try:
                 better = text.encode(wrong).decode("utf-8")
@@ -128,7 +128,6 @@ def _undo_double_encoding(text: str) -> str:
         if better == text:
             return text
         text = better
-    return text
 
 
 @F.pandas_udf(T.StringType())

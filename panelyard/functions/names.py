@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,14 +14,26 @@ from panelyard import fixed_values as fv
 from panelyard.functions.similarity import weighted_ratio
 from panelyard.session import fits
 
-# Accented Latin letters and the plain letters they reduce to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _plain_letters() -> tuple[str, str]:
+    """Letters whose compatibility decomposition is one plain letter and marks, and that letter."""
+    found = {}
+    for code in range(0x80, 0x10000):
+        bare = [c for c in unicodedata.normalize("NFKD", chr(code)).lower() if c.isascii()]
+        if len(bare) == 1 and bare[0].isalpha():
+            found[chr(code)] = bare[0]
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
+#: Joined letters that decompose into several.
+LIGATURES = {c: unicodedata.normalize("NFKD", c).lower() for c in "ﬀﬁﬂﬃﬄﬅﬆĳŉǆǉǌǳ"}
 
 
 def normalize_name(c: Column, aliases: dict[str, str] = fv.NAME_ALIASES) -> Column:
     """Lower case, plain letters, apostrophes and single blanks; null becomes ''."""
     plain = F.translate(F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))), ACCENTED, PLAIN)
+    for joined, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(joined), F.lit(letters))
     letters = F.regexp_replace(F.regexp_replace(plain, "-", " "), r"[^a-z'\s]", "")
     tidy = F.trim(F.regexp_replace(letters, r"\s+", " "))
     out = tidy

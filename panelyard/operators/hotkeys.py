@@ -25,3 +25,18 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id:
     salted = right.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_id), ways).cast("int")).drop("_ways")
     repeated = left.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
     return repeated.join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def crowd_join(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, parts: int = 200) -> DataFrame:
+    """Inner join of ``rows`` with one row per key, where a key may hold most rows.
+
+    ``size`` says how many of the ``total`` rows a key has. The keys above
+    1/``parts`` of them, ``parts`` at most, reach their rows as a broadcast; the
+    others meet in a shuffle whose largest key is that share.
+    """
+    large = F.col(size) > max(1000, total // parts)
+    crowd = F.broadcast(per_key.filter(large).withColumn("_crowd", F.lit(True)))
+    met = rows.join(crowd, key, "left")
+    columns = [*rows.columns, *[c for c in per_key.columns if c != key]]
+    rest = met.filter("_crowd is null").select(*rows.columns).join(per_key.filter(~large), key)
+    return met.filter("_crowd").select(*columns).unionByName(rest.select(*columns))

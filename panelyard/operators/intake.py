@@ -36,12 +36,12 @@ def record_id(county: Column, number: Column, codes: dict[str, str] = fv.COUNTY_
 
 def draft_rows(
     pages: DataFrame, order: str, html: str = "html", terms: dict[str, str] | None = None,
-    text_limit: int = fv.DRAFT_TEXT_LIMIT,
+    text_limit: int | None = None,
 ) -> DataFrame:
     """Incident drafts in the 24-field layout from candidate pages (url, title, county, source).
 
-    Suggestions are drawn from the whole text; only the stored excerpt is cut,
-    as the layout asks for. Pages without text are skipped.
+    Suggestions are drawn from the whole text, which is also stored whole
+    unless ``text_limit`` asks for an excerpt. Pages without text are skipped.
     """
     read = pages.withColumn("_text", D.page_text(F.col(html))).filter(F.col("_text") != "")
     found = add_entities(numbered(read, order, "_number"), "_text", terms)
@@ -60,7 +60,7 @@ def draft_rows(
         "Date_Start": F.array_join(F.slice(D.dates_in(F.col("_text")), 1, 5), "; "),
         "Incident_Summary": F.coalesce("title", F.lit("")),
         "Parties_Involved": F.array_join(people, "; "),
-        "Full_Text_Description": F.substring("_text", 1, text_limit),
+        "Full_Text_Description": F.col("_text") if text_limit is None else F.substring("_text", 1, text_limit),
         "Source_Name": named,
         "Source_URL": url,
         "Data_Source_Type": D.source_type(url),

@@ -36,9 +36,11 @@ def sliced(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """Add ``_slice``, a monotone function of ``column`` with balanced sizes.
 
     The cut points are literals in the plan, so a recomputed task gets the
-    same slices as the first run.
+    same slices as the first run. Nulls come last.
     """
     parts = parts or parallelism(df.sparkSession)
+    if isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType)):
+        return _sliced_text(df, column, parts)
     keyed = df.withColumn("_pos", _as_double(df, column))
     probs = [i / parts for i in range(1, parts)]
     cuts = keyed.select("_pos").approxQuantile("_pos", probs, 0.5 / parts)
@@ -47,7 +49,20 @@ def sliced(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
         return keyed.withColumn("_slice", F.lit(0)).drop("_pos")
     splits = [-math.inf, *inner, math.inf]
     cut = Bucketizer(splits=splits, inputCol="_pos", outputCol="_cut", handleInvalid="keep")
-    return cut.transform(keyed).withColumn("_slice", F.col("_cut").cast("int")).drop("_pos", "_cut")
+    return cut.transform(keyed).withColumn("_slice", F.coalesce(F.col("_cut").cast("int"), F.lit(len(splits)))).drop("_pos", "_cut")
+
+
+def _sliced_text(df: DataFrame, column: str, parts: int, per_part: int = 50) -> DataFrame:
+    """Slices of a text column: cut points come from an even sample of about ``per_part`` values per slice; nulls are last."""
+    known = df.select(column).filter(F.col(column).isNotNull())
+    rows = known.count()
+    share = min(1.0, parts * per_part / max(1, rows))
+    found = sorted(r[0] for r in known.sample(share, seed=11).collect()) if rows else []
+    cuts = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+    if not cuts:
+        return df.withColumn("_slice", F.when(F.col(column).isNull(), 1).otherwise(0))
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column)))
+    return df.withColumn("_slice", F.when(F.col(column).isNull(), len(cuts) + 1).otherwise(below))
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -108,7 +123,7 @@ def numbered(df: DataFrame, order: str, out: str, by: Sequence[str] = (), parts:
     offsets = per_slice.select(
         *by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy(order)
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.col(order).asc_nulls_last())
     null_safe = None
     for c in [*by, "_slice"]:
         test = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))

@@ -19,6 +19,10 @@ from panelyard import fixed_values as fv
 LN2 = 0.6931471805599453
 
 
+#: Half-lives after which exponents start anew.
+SPAN = 500
+
+
 def decay_weight(days: Column, half_life: Column) -> Column:
     """exp(-ln2 * days / half-life), days never below zero."""
     return F.exp(-F.lit(LN2) * F.greatest(days, F.lit(0)) / half_life)
@@ -39,8 +43,9 @@ def build_grid(areas: DataFrame, start: str, end: str, date: str = "panel_date")
 
 
 def add_static_first(grid: DataFrame, dim: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
-    """Left join the first row per key of an attribute table."""
-    first = dim.groupBy(key).agg(F.min_by(F.struct(*columns), F.col(order)).alias("_first"))
+    """Left join the first row per key of an attribute table, rows with a null ``order`` last."""
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    first = dim.groupBy(key).agg(F.min_by(F.struct(*columns), place).alias("_first"))
     return grid.join(first, key, "left").select(*grid.columns, *[F.col(f"_first.{c}").alias(c) for c in columns])
 
 
@@ -89,7 +94,10 @@ def _decayed(
     """Decayed running sums of ``measures`` for every row of ``grid``, 0 before the first event.
 
     Months with events outside the grid take part in the running sum and are
-    dropped afterwards; exponents count from the first month of the key.
+    dropped afterwards. Exponents count from the first asked month of the key
+    and start anew after every ``SPAN`` half-lives; the span before is carried
+    over and what lies further back is below 2^-500 of its weight. So neither
+    a long grid nor one absurd date leaves the range of a double.
     """
     begin = F.to_date(start)
     known = events.filter(F.col(start).isNotNull()).withColumns(
@@ -104,19 +112,21 @@ def _decayed(
         ]
     )
     by_key = Window.partitionBy(*keys)
-    so_far = by_key.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     joined = grid.withColumn("_asked", F.lit(True)).join(per_month, [*keys, date], "full_outer")
-    timed = joined.withColumn("_offset", F.datediff(date, F.min(date).over(by_key)))
-    too_long = F.raise_error(F.lit("the months span more half-lives than a double can hold; split them by period"))
+    timed = joined.withColumn("_offset", F.datediff(date, F.min(F.when(F.col("_asked"), F.col(date))).over(by_key)))
     for tag, life in lives.items():
         halvings = F.col("_offset") / F.lit(life)
-        timed = timed.withColumn(f"_up_{tag}", F.when(halvings < 900, F.exp(F.lit(LN2) * halvings)).otherwise(too_long.cast("double")))
+        span = F.floor(halvings / SPAN)
+        timed = timed.withColumn(f"_span_{tag}", span).withColumn(f"_up_{tag}", F.exp(F.lit(LN2) * (halvings - span * SPAN)))
     sums = {}
     for n in measures:
-        parts = [
-            F.sum(F.coalesce(F.col(f"_{n}_{tag}"), F.lit(0.0)) * F.col(f"_up_{tag}")).over(so_far) / F.col(f"_up_{tag}")
-            for tag in lives
-        ]
+        parts = []
+        for tag in lives:
+            by_span = Window.partitionBy(*keys, f"_span_{tag}").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+            span_before = by_key.orderBy(f"_span_{tag}").rangeBetween(-1, -1)
+            scaled = F.coalesce(F.col(f"_{n}_{tag}"), F.lit(0.0)) * F.col(f"_up_{tag}")
+            carried = F.coalesce(F.sum(scaled).over(span_before), F.lit(0.0)) * F.lit(2.0**-SPAN)
+            parts.append((F.sum(scaled).over(by_span) + carried) / F.col(f"_up_{tag}"))
         sums[n] = parts[0] + parts[1]
     summed = timed.select("_asked", *grid.columns, *[c.alias(n) for n, c in sums.items()])
     return summed.filter("_asked").drop("_asked")

@@ -60,9 +60,10 @@ def resolve_collisions(df: DataFrame, id_col: str, order: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The first row per key by ``order``; combines on the map side, so a hot key is no problem."""
+    """The first row per key by ``order``, null last; combines on the map side, so a hot key is no problem."""
     others = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order)).alias("_row"))
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*others), place).alias("_row"))
     return first.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

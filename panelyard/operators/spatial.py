@@ -190,9 +190,11 @@ def kde_surface(df: DataFrame, lon: str, lat: str, grid_size: int = 100, bandwid
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((grid_size, grid_size))
         for batch in batches:
-            for px, py, w in batch.to_numpy(dtype=float):
-                dx, dy = (xs - px)[None, :], (ys - py)[:, None]
-                total += w * np.exp(-0.5 * (c * dx * dx - 2 * b * dx * dy + a * dy * dy) / det)
+            points = batch.to_numpy(dtype=float)
+            for block in np.array_split(points, -(-len(points) // 64)) if len(points) else ():
+                dx, dy = (xs - block[:, :1])[:, None, :], (ys - block[:, 1:2])[:, :, None]
+                kernel = np.exp(-0.5 / det * (c * dx * dx - 2 * b * dx * dy + a * dy * dy))
+                total += np.tensordot(block[:, 2], kernel, axes=1)
         gy, gx = np.nonzero(total)
         yield pd.DataFrame({"gx": gx, "gy": gy, "z": total[gy, gx]})
 

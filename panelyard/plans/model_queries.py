@@ -231,7 +231,7 @@ def latest_complete(spark, d):
 
 
 RISK = f"""{GAPPY},
-scored AS (SELECT area, county, panel_date, 1 / (1 + exp(-(conflict_persistence - 20) / 5)) AS p FROM latest WHERE area <> 7),
+scored AS (SELECT area, county, panel_date, 1 / (1 + exp(-(conflict_persistence - 20) / 5)) AS p FROM latest),
 cuts AS (SELECT quantile_cont(p, [1/3, 2/3]) AS q FROM scored),
 layer AS (SELECT n_nationkey AS area, n_name, s.panel_date AS target_month, round(p, 6) AS risk_probability,
     CASE WHEN p <= q[1] THEN 'Low' WHEN p <= q[2] THEN 'Medium' WHEN p > q[2] THEN 'High' END AS risk_category
@@ -243,7 +243,7 @@ def layer(spark, d):
 
     def score(df):
         p = 1 / (1 + F.exp(-(F.col("conflict_persistence") - 20) / 5))
-        return df.filter("area <> 7").withColumn("risk_probability", p)
+        return df.withColumn("risk_probability", p)
 
     return K.risk_layer(shapes, gappy_panel(spark, d), ["area", "county"], ["conflict_persistence"], score)
 

@@ -205,35 +205,39 @@ def fuzzy_match(spark, d):
     )
 
 
-@query(
-    "match_report",
-    f"""WITH canon AS (SELECT DISTINCT p_name AS area, {NAME_SQL.format(c="p_name")} AS norm FROM part),
-    names AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(replace(p_name, ' ', '-')) WHEN 3 THEN p_name END AS raw_name FROM part),
-    hit AS (SELECT n.p_partkey, c.area IS NOT NULL AS ok FROM names n
-            LEFT JOIN canon c ON c.norm = {NAME_SQL.format(c="n.raw_name")})
-    SELECT CASE WHEN ok THEN 'exact' ELSE 'unmatched' END AS match_method, count(*) AS n,
-           round(count(*) / sum(count(*)) OVER (), 6) AS share FROM hit GROUP BY 1""",
-)
+@query("match_report")
 def match_report(spark, d):
-    names = dirty_names(spark, d).withColumn("raw_name", F.when(F.col("p_partkey") % 4 % 3 == 0, F.col("raw_name")))
-    matched = N.match_areas(names, "raw_name", canonical_parts(spark, d))
+    """The real mix of exact, fuzzy and unmatched names."""
+    matched = N.match_areas(dirty_names(spark, d), "raw_name", canonical_parts(spark, d))
     return N.match_report(matched).withColumn("share", F.round("share", 6))
 
 
+@query(
+    "exact_match_share",
+    f"""WITH canon AS (SELECT DISTINCT {NAME_SQL.format(c="p_name")} AS norm FROM part)
+    SELECT p_partkey, n.norm IN (SELECT norm FROM canon) AS is_exact FROM (
+      SELECT p_partkey, {NAME_SQL.format(c="upper(replace(p_name, ' ', '-'))")} AS norm FROM part WHERE p_partkey % 4 = 0
+      UNION ALL SELECT p_partkey, {NAME_SQL.format(c="p_name")} FROM part WHERE p_partkey % 4 = 3) n""",
+)
+def exact_match_share(spark, d):
+    """Which of the names that differ in case and hyphens only are found exactly."""
+    matched = N.match_areas(dirty_names(spark, d), "raw_name", canonical_parts(spark, d))
+    return matched.filter("p_partkey % 4 IN (0, 3)").select("p_partkey", (F.col("match_method") == "exact").alias("is_exact"))
+
+
 @query(
     "missing_areas",
     """SELECT n_name AS "SubCounty" FROM nation WHERE n_name NOT IN (
-      SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9500)""",
+      SELECT CASE WHEN n_nationkey % 7 = 0 THEN n_name || ' area' ELSE n_name END FROM nation JOIN supplier ON s_nationkey = n_nationkey)""",
 )
 def missing_areas(spark, d):
     nations = table(spark, d, "nation")
     areas = N.canonical_areas(
         nations.select(F.col("n_regionkey").cast("string").alias("County"), F.col("n_name").alias("SubCounty")), counties=None
     )
-    rich = table(spark, d, "supplier").filter("s_acctbal > 9500").join(
-        nations, F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    return N.areas_without_match(areas, rich, "n_name").select("SubCounty")
+    spelt = F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.col("n_name"), F.lit(" area"))).otherwise(F.col("n_name"))
+    rows = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("spelt", spelt)
+    return N.areas_without_match(areas, rows, "spelt").select("SubCounty")
 
 
 @query("token_sort_ratio")

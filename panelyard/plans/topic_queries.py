@@ -136,26 +136,39 @@ def shap_linear(spark, d):
     return linear(spark, d).withColumn("attribution", F.round("attribution", 6))
 
 
+# the test years, explained against the mean of the train years
+TESTED = f"""{PANEL},
+m AS (SELECT avg(conflict_persistence) AS a, avg(conflict_severity_weighted) AS b FROM panel WHERE year(panel_date) < 2000),
+tested AS (SELECT * FROM panel WHERE year(panel_date) >= 2000),
+attr AS (SELECT 'conflict_persistence' AS feature, 0.05 * (conflict_persistence - a) AS attribution FROM tested, m
+  UNION ALL SELECT 'conflict_severity_weighted', -0.01 * (conflict_severity_weighted - b) FROM tested, m)"""
+
+
+def tested(spark, d):
+    train, test = G.temporal_split(panel(spark, d).withColumn("Year", F.year("panel_date")), 2000)
+    return E.linear_attribution(test, ["area", "panel_date"], COEFFICIENTS, background=train)
+
+
 @query(
     "attribution_summary",
-    f"""WITH {LINEAR} SELECT feature, round(avg(abs(attribution)), 6) AS mean_abs_shap,
-      round(avg(CASE WHEN area < 12 THEN attribution END), 6) AS mean_signed_shap FROM attr WHERE area < 12 GROUP BY 1""",
+    f"""WITH {TESTED} SELECT feature, round(avg(abs(attribution)), 6) AS mean_abs_shap,
+      round(avg(attribution), 6) AS mean_signed_shap FROM attr GROUP BY 1""",
 )
 def attribution_summary(spark, d):
-    summary = E.attribution_summary(linear(spark, d).filter("area < 12"))
+    summary = E.attribution_summary(tested(spark, d))
     return summary.select("feature", r6("mean_abs_shap"), r6("mean_signed_shap"))
 
 
 @query(
     "policy_statements",
-    f"""WITH {LINEAR}, s AS (SELECT feature, avg(abs(attribution)) AS a, avg(attribution) AS g FROM attr WHERE area < 12 GROUP BY 1),
+    f"""WITH {TESTED}, s AS (SELECT feature, avg(abs(attribution)) AS a, avg(attribution) AS g FROM attr GROUP BY 1),
     r AS (SELECT *, row_number() OVER (ORDER BY a DESC, feature) AS rank FROM s)
     SELECT rank::INT AS rank, feature, rank || '. ' || feature || ': mean |SHAP| = ' || printf('%.4f', a) || ' -- ' ||
       CASE WHEN g > 0 THEN 'HIGHER values of this feature INCREASE predicted risk' WHEN g < 0 THEN 'HIGHER values of this feature DECREASE predicted risk'
            ELSE 'direction is mixed/ambiguous across records' END AS statement FROM r WHERE rank <= 5""",
 )
 def policy_statements(spark, d):
-    summary = E.attribution_summary(linear(spark, d).filter("area < 12"))
+    summary = E.attribution_summary(tested(spark, d))
     return E.policy_statements(summary).select("rank", "feature", "statement")
 
 
@@ -202,19 +215,24 @@ def event_stream(spark, d):
 
 @query(
     "stream_counts",
-    """SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_events FROM events GROUP BY ALL""",
+    """SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_events FROM events
+    GROUP BY event_type, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
 )
 def stream_counts(spark, d):
-    counts = S.drain(S.period_counts(event_stream(spark, d), "event_type", "at", "window", "10 days", "1 day"), "counts", "complete")
+    counts = S.drain(S.period_counts(event_stream(spark, d), "event_type", "at", "window", "2 days", "1 day"), "counts")
     return counts.select("event_type", F.date_format("period_start", "yyyy-MM-dd").alias("day"), "n_events")
 
 
 @query(
     "stream_month_counts",
-    """SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n_events FROM events GROUP BY ALL""",
+    """SELECT o_orderpriority, strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*) AS n_events FROM orders
+    GROUP BY o_orderpriority, date_trunc('month', o_orderdate)
+    HAVING date_trunc('month', o_orderdate) <= (SELECT max(date_trunc('month', o_orderdate)) - INTERVAL 40 DAY FROM orders)""",
 )
 def stream_month_counts(spark, d):
-    counts = S.drain(S.period_counts(event_stream(spark, d), "user_id", "at"), "months", "complete")
-    return counts.select("user_id", F.date_format("period_start", "yyyy-MM").alias("month"), "n_events")
-
-
+    """Orders arriving as a stream; a month is told once the watermark of 40 days has passed its start."""
+    source = table(spark, d, "orders")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    arriving = stream.withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    counts = S.drain(S.period_counts(arriving, "o_orderpriority", "at"), "months")
+    return counts.select("o_orderpriority", F.date_format("period_start", "yyyy-MM").alias("month"), "n_events")

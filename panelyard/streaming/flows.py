@@ -31,13 +31,14 @@ def period_counts(events: DataFrame, area: str, at: str, period: str = "month",
     """Events and distinct-day flags per area and calendar period; late rows count until the watermark passes.
 
     ``period`` 'month' keys by calendar month, anything else is a tumbling
-    window of ``days``.
+    window of ``days``. Both run in append mode: a period is told once, when
+    the watermark has passed it, and then leaves the state. The watermark of
+    months is kept on their first day.
     """
-    marked = events.withWatermark(at, late)
     if period == "month":
-        keyed = marked.withColumn("period_start", F.date_trunc("month", at))
+        keyed = events.withColumn("period_start", F.date_trunc("month", at)).withWatermark("period_start", late)
         return keyed.groupBy(F.col(area), "period_start").agg(F.count(F.lit(1)).alias("n_events"))
-    counts = marked.groupBy(F.col(area), F.window(at, days).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+    counts = events.withWatermark(at, late).groupBy(F.col(area), F.window(at, days).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
     return counts.select(area, F.col("w.start").alias("period_start"), "n_events")
 
 
