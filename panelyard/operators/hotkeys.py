@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, rows_per_task: int = 20_000) -> DataFrame:
-    """Inner join on ``keys``; right rows of a key above ``rows_per_task`` are salted.
+    """Inner join on ``keys``; rows of a key above ``rows_per_task`` on either side are salted.
 
-    Only keys above the size get more than one salt, and only their left rows
-    are repeated, so nothing is dropped and the common keys cost nothing extra.
+    Only keys above the size get more than one salt, and only the rows they
+    meet on the other side are repeated, so nothing is dropped and the common
+    keys cost nothing extra. ``row_id`` spreads the right rows, the hash of the
+    whole row the left ones.
     """
     keys = list(keys)
-    hot = (
-        right.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_ways"))
-    )
-    ways = F.coalesce(F.col("_ways"), F.lit(1))
-    salted = right.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_id), ways).cast("int")).drop("_ways")
-    repeated = left.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
-    return repeated.join(salted, [*keys, "_salt"]).drop("_salt")
+
+    def hot(side: DataFrame, name: str) -> DataFrame:
+        sizes = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+        return sizes.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias(name))
+
+    ways = hot(left, "_l").join(hot(right, "_r"), keys, "full_outer")
+    many_l, many_r = F.coalesce(F.col("_l"), F.lit(1)), F.coalesce(F.col("_r"), F.lit(1))
+    own_l = F.pmod(F.xxhash64(*left.columns), many_l).cast("int")
+    own_r = F.pmod(F.xxhash64(row_id), many_r).cast("int")
+    salted = right.join(ways, keys, "left").withColumn("_j", own_r).withColumn("_i", F.explode(F.sequence(F.lit(0), many_l - 1)))
+    repeated = left.join(ways, keys, "left").withColumn("_i", own_l).withColumn("_j", F.explode(F.sequence(F.lit(0), many_r - 1)))
+    return repeated.drop("_l", "_r").join(salted.drop("_l", "_r"), [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
 def crowd_join(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, parts: int = 200) -> DataFrame:

@@ -87,7 +87,7 @@ def _decayed(
     start: str,
     composite: str,
     measures: dict[str, Column],
-    days: float,
+    days: float | Sequence[float],
     multiplier: float,
     date: str,
 ) -> DataFrame:
@@ -103,11 +103,14 @@ def _decayed(
     known = events.filter(F.col(start).isNotNull()).withColumns(
         {"_slow": F.coalesce(F.col(composite), F.lit(False)), "_at": first_month_from(begin)}
     )
-    weight = decay_weight(F.datediff("_at", begin), half_life(F.col("_slow"), days, multiplier))
-    lives = {"quick": float(days), "slow": float(days) * float(multiplier)}
+    every = list(days) if isinstance(days, (list, tuple)) else [days]
+    # the column suffix of each half-life; a single one has none
+    suffix = {float(x): f"_{float(x)}" if len(every) > 1 else "" for x in every}
+    lives = {f"{tag}{suffix[x]}": x * by for x in suffix for tag, by in (("quick", 1.0), ("slow", float(multiplier)))}
+    weight = {tag: decay_weight(F.datediff("_at", begin), F.lit(life)) for tag, life in lives.items()}
     per_month = known.groupBy(*keys, F.col("_at").alias(date)).agg(
         *[
-            F.sum(F.when(F.col("_slow") == F.lit(tag == "slow"), weight * c)).alias(f"_{n}_{tag}")
+            F.sum(F.when(F.col("_slow") == F.lit(tag.startswith("slow")), weight[tag] * c)).alias(f"_{n}_{tag}")
             for n, c in measures.items() for tag in lives
         ]
     )
@@ -122,12 +125,13 @@ def _decayed(
     for n in measures:
         parts = []
         for tag in lives:
-            by_span = Window.partitionBy(*keys, f"_span_{tag}").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-            span_before = by_key.orderBy(f"_span_{tag}").rangeBetween(-1, -1)
-            scaled = F.coalesce(F.col(f"_{n}_{tag}"), F.lit(0.0)) * F.col(f"_up_{tag}")
+            by_span = Window.partitionBy(*keys, f"`_span_{tag}`").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+            span_before = by_key.orderBy(f"`_span_{tag}`").rangeBetween(-1, -1)
+            scaled = F.coalesce(F.col(f"`_{n}_{tag}`"), F.lit(0.0)) * F.col(f"`_up_{tag}`")
             carried = F.coalesce(F.sum(scaled).over(span_before), F.lit(0.0)) * F.lit(2.0**-SPAN)
-            parts.append((F.sum(scaled).over(by_span) + carried) / F.col(f"_up_{tag}"))
-        sums[n] = parts[0] + parts[1]
+            parts.append((F.sum(scaled).over(by_span) + carried) / F.col(f"`_up_{tag}`"))
+        for k, end in enumerate(suffix.values()):
+            sums[f"{n}{end}"] = parts[2 * k] + parts[2 * k + 1]
     summed = timed.select("_asked", *grid.columns, *[c.alias(n) for n, c in sums.items()])
     return summed.filter("_asked").drop("_asked")
 
@@ -181,12 +185,11 @@ def half_life_sensitivity(
     date: str = "panel_date",
 ) -> DataFrame:
     """The decayed sum per key and month for several half-lives, stacked."""
-    runs = None
-    for days in half_lives:
-        run = _decayed(grid, events, [key], start, composite, {"persistence": measure}, days, multiplier, date)
-        run = run.withColumn("half_life_days", F.lit(int(days)))
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+    wide = _decayed(grid, events, [key], start, composite, {"persistence": measure}, list(half_lives), multiplier, date)
+    if len(half_lives) == 1:
+        return wide.withColumn("half_life_days", F.lit(int(half_lives[0])))
+    each = F.array(*[F.struct(F.col(f"`persistence_{float(d)}`").alias("persistence"), F.lit(int(d)).alias("half_life_days")) for d in half_lives])
+    return wide.select(*grid.columns, F.explode(each).alias("_e")).select(*grid.columns, "_e.persistence", "_e.half_life_days")
 
 
 def decayed_sum_by_pairs(

@@ -114,7 +114,7 @@ def available_filters(
     rows.append(span.unpivot([], ["year_min", "year_max"], "filter", "option"))
     if horizons:
         choices = F.explode(F.array(*[F.lit(str(h)) for h in horizons]))
-        rows.append(panel.limit(1).select(F.lit("horizon_months").alias("filter"), choices.alias("option")))
+        rows.append(panel.sparkSession.range(1).select(F.lit("horizon_months").alias("filter"), choices.alias("option")))
     if raw_date:
         bad = incidents.agg(
             F.count_if(F.col(raw_date).isNotNull() & parse_us_date(F.col(raw_date)).isNull()).cast("string").alias("option")

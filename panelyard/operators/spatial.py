@@ -160,6 +160,23 @@ def _smallest(near: DataFrame, k: int) -> DataFrame:
     return kept.groupBy("a").agg(F.sort_array(F.collect_list("s")).alias("best"))
 
 
+def within_distance(points: DataFrame, key: str, x: str, y: str, reach: float) -> DataFrame:
+    """Pairs (a, b, distance), a before b, of points at most ``reach`` apart, in the units of x and y.
+
+    Cells of side ``reach`` meet their neighbours; crowded cells are spread.
+    Points without coordinates take no part.
+    """
+    known = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    cell = {"cx": F.floor(F.col(x) / reach), "cy": F.floor(F.col(y) / reach)}
+    left = known.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay")).withColumns({k: F.floor(F.col(f"a{k[1]}") / reach) for k in cell})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = left.withColumn("o", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    right = known.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), *[c.alias(k) for k, c in cell.items()])
+    met = spread_join(left, right, ["cx", "cy"], "b").filter("a < b")
+    apart = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+    return met.select("a", "b", apart.alias("distance")).filter(F.col("distance") <= reach)
+
+
 # --- density surface -------------------------------------------------------------------------
 
 def kde_surface(df: DataFrame, lon: str, lat: str, grid_size: int = 100, bandwidth: str | float = "scott", margin: float = 0.1) -> DataFrame:

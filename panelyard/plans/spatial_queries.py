@@ -158,3 +158,12 @@ def kde_surface(spark, d):
 @query("dbscan_clusters")
 def dbscan_clusters(spark, d):
     return S.dbscan(raw_points(spark, d), "vec_id", "lon", "lat", eps_km=12.0, min_points=4)
+
+
+@query(
+    "distance_pairs",
+    f"""WITH {POINTS.strip()} SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt(pow(p.lon - q.lon, 2) + pow(p.lat - q.lat, 2)), 6) AS distance
+    FROM pts p JOIN pts q ON p.vec_id < q.vec_id WHERE sqrt(pow(p.lon - q.lon, 2) + pow(p.lat - q.lat, 2)) <= 0.05""",
+)
+def distance_pairs(spark, d):
+    return S.within_distance(points(spark, d), "vec_id", "lon", "lat", 0.05).select("a", "b", r6("distance"))

@@ -60,9 +60,12 @@ def read_boundaries(
     """Polygons of a GeoJSON file as one row per ring: area_id, County, SubCounty, ring, points.
 
     The coordinate system must be given or stated in the file, and be WGS84.
+    An area without a geometry is one row without ring and points; collections
+    are unfolded; geometries other than polygons stop the read.
     """
     point = T.ArrayType(T.DoubleType())
-    geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
+    simple = [T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]
+    geometry = T.StructType([*simple, T.StructField("geometries", T.ArrayType(T.StructType(simple)))])
     properties = T.MapType(T.StringType(), T.StringType())
     feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", geometry)])
     stated_crs = T.StructType([T.StructField("properties", properties)])
@@ -75,15 +78,23 @@ def read_boundaries(
         raise ValueError(f"boundaries must be in WGS84, not {stated}")
     one = raw.select(F.explode("features").alias("f")).select(
         F.col("f.properties")[county].alias("County"), F.col("f.properties")[area].alias("SubCounty"),
-        F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"),
+        F.col("f.geometry").alias("g"),
     )
     if counties is not None:
         one = one.filter(F.col("County").isin(counties))
     rings = T.ArrayType(T.ArrayType(point))
-    multi = F.when(F.col("type") == "Polygon", F.array(F.from_json("c", rings))).when(
-        F.col("type") == "MultiPolygon", F.from_json("c", T.ArrayType(rings))
-    )
-    spread = one.select("County", "SubCounty", F.posexplode(F.flatten(multi)).alias("ring", "xy"))
+    single = F.struct(F.col("g.type").alias("type"), F.col("g.coordinates").alias("coordinates"))
+    parts = F.when(F.col("g.type") == "GeometryCollection", F.col("g.geometries")).when(F.col("g.type").isNotNull(), F.array(single))
+
+    def polygons(g):
+        unread = F.raise_error(F.concat(F.lit("no polygon: "), g["type"])).cast(T.ArrayType(rings))
+        return (
+            F.when(g["type"] == "Polygon", F.array(F.from_json(g["coordinates"], rings)))
+            .when(g["type"] == "MultiPolygon", F.from_json(g["coordinates"], T.ArrayType(rings)))
+            .otherwise(unread)
+        )
+
+    spread = one.select("County", "SubCounty", F.posexplode_outer(F.flatten(F.flatten(F.transform(parts, polygons)))).alias("ring", "xy"))
     points = F.transform("xy", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return spread.select(F.concat_ws("|", "County", "SubCounty").alias("area_id"), "County", "SubCounty", "ring", points.alias("points"))
 

@@ -1,6 +1,8 @@
 """Keys of any type, nulls in the order, absurd dates and letters outside the usual ones."""
 
 import datetime as dt
+import json
+import math
 import random
 from decimal import Decimal
 
@@ -16,7 +18,8 @@ from panelyard.operators import records as R
 from panelyard.operators import spatial as S
 from panelyard.operators.dedupe import match_reason
 from panelyard.operators.graph import connected_components
-from panelyard.operators.hotkeys import crowd_join
+from panelyard.operators.hotkeys import crowd_join, spread_join
+from panelyard.sources.tables import read_boundaries
 
 
 @pytest.mark.parametrize("kind, make", [
@@ -113,3 +116,39 @@ def test_components_of_a_star_and_a_chain(spark):
     got = connected_components(vertices, spark.createDataFrame(edges, "a long, b long"), "v").collect()
     for r in got:
         assert r["component"] == (0 if r["v"] < 4000 else 5000 if 5000 <= r["v"] <= 5090 else r["v"])
+
+
+def test_boundaries_keep_areas_without_a_polygon(spark, tmp_path):
+    square = lambda x: [[[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 0.0]]]
+    shapes = {
+        "none": None, "one": {"type": "Polygon", "coordinates": square(0.0)}, "many": {"type": "MultiPolygon", "coordinates": [square(2.0), square(4.0)]},
+        "mixed": {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "coordinates": square(6.0)}, {"type": "MultiPolygon", "coordinates": [square(8.0)]}]},
+    }
+    features = [{"type": "Feature", "properties": {"c": "K", "s": name}, "geometry": g} for name, g in shapes.items()]
+    path = tmp_path / "areas.json"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    rows = read_boundaries(spark, str(path), "c", "s", crs="EPSG:4326").collect()
+    found = sorted((r["SubCounty"], r["ring"], r["points"][0]["x"] if r["points"] else None) for r in rows if r["SubCounty"] != "none")
+    assert found == [("many", 0, 2.0), ("many", 1, 4.0), ("mixed", 0, 6.0), ("mixed", 1, 8.0), ("one", 0, 0.0)]
+    assert [(r["ring"], r["points"]) for r in rows if r["SubCounty"] == "none"] == [(None, None)]
+    features[0]["geometry"] = {"type": "Point", "coordinates": [1.0, 2.0]}
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    with pytest.raises(Exception, match="no polygon"):
+        read_boundaries(spark, str(path), "c", "s", crs="EPSG:4326").collect()
+
+
+def test_spread_join_with_hot_keys_on_both_sides(spark):
+    left = spark.range(600).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    right = spark.range(400).select(F.col("id").alias("b"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    got = spread_join(left, right, ["k"], "b", rows_per_task=40)
+    plain = left.join(right, ["k"])
+    assert got.count() == plain.count() and got.select("a", "b", "k").exceptAll(plain.select("a", "b", "k")).count() == 0
+
+
+def test_pairs_within_a_distance(spark):
+    rng = random.Random(5)
+    spots = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(150)] + [(900, 1.0, 1.0), (901, 1.0, 1.0), (902, None, 1.0)]
+    df = spark.createDataFrame(spots, "id long, x double, y double")
+    got = {(r["a"], r["b"]) for r in S.within_distance(df, "id", "x", "y", 0.7).collect()}
+    known = [s for s in spots if s[1] is not None]
+    assert got == {(p[0], q[0]) for p in known for q in known if p[0] < q[0] and math.hypot(p[1] - q[1], p[2] - q[2]) <= 0.7}
