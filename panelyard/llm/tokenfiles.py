@@ -17,7 +17,7 @@ def write_token_files(
 
     Texts are dealt out by id ranges and encoded behind that shuffle, so the
     ranges are sampled from ids alone. Ids are 32-bit integers under ORC's
-    run-length encoding; a row index every ``stride`` rows and Bloom filters on
+    run-length encoding; a row index every ``stride`` rows (1000 at least) and Bloom filters on
     the document id let readers skip stripes. A null or empty text is its end
     id alone; a null id sorts first; rows with one id stay all, ordered by text.
     An empty table gives files without rows.

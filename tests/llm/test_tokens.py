@@ -54,7 +54,7 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     name = tokenizer_path("word_bpe_49k.json")
     rows = [(i, t) for i, t in enumerate(odd_texts(300))] + [(500, None), (501, "word " * 5000), (7, "twice"), (None, "no id")]
     path = str(tmp_path / "ids")
-    write_token_files(docs(rows, True).repartition(5), path, name, end_id=2, stride=100)
+    write_token_files(docs(rows, True).repartition(5), path, name, end_id=2)
     library = IdEncoder(name).tokenizer
     ids = {}
     start, want = 0, []
