@@ -16,6 +16,7 @@ from panelyard.operators import ordering as O
 from panelyard.operators import panel as P
 from panelyard.operators import records as R
 from panelyard.operators import spatial as S
+from panelyard.operators import topics as T
 from panelyard.operators.dedupe import match_reason
 from panelyard.operators.graph import connected_components
 from panelyard.operators.hotkeys import crowd_join, spread_join
@@ -152,3 +153,17 @@ def test_pairs_within_a_distance(spark):
     got = {(r["a"], r["b"]) for r in S.within_distance(df, "id", "x", "y", 0.7).collect()}
     known = [s for s in spots if s[1] is not None]
     assert got == {(p[0], q[0]) for p in known for q in known if p[0] < q[0] and math.hypot(p[1] - q[1], p[2] - q[2]) <= 0.7}
+
+
+def test_embedding_backend_by_name(spark):
+    df = spark.createDataFrame([(1, "a b", ["a", "b"]), (2, "b c", ["b", "c"]), (3, None, [])], "id int, t string, w array<string>")
+    assert all(len(r["vector"]) == 3 for r in T.embed(df, "tfidf", "t", "w", vocabulary=16, dimensions=3).collect())
+
+    def make_predict():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+    assert [list(r["vector"]) for r in T.embed(df, "model", "t", "w", make_predict=make_predict).orderBy("id").collect()] == [[3, 1], [3, 1], [0, 1]]
+    with pytest.raises(ValueError, match="no embedding backend"):
+        T.embed(df, "other", "t", "w")
