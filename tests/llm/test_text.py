@@ -43,6 +43,7 @@ def kept(html):
     ("<nav>menu</nav><div class='cookie-notice'>ok?</div><p>x</p><div id=sidebar>s</div><footer>f</footer>", ["x"]),
     ("<body class='sidebar home'><p>x</p></body>", ["x"]),
     ("<article><header><h1>Title</h1></header><p>x<aside>ad</aside>y</article><section class=comments><p>hi</p></section>", ["Title", "x", "y"]),
+    ("<article><div class='article-header'><h2>T</h2></div><p>x</p></article><div class='page-header'>site</div>", ["T", "x"]),
     ("<form><p>sign up</p></form><ul><li>a<li>b</ul>", ["a", "b"]),
     ("<article><p>cut in the mid", ["cut in the mid"]),
     ("<p title='a>b'>x</p><p", ["x"]),
