@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import SPACES, whole_text, written
+from panelyard.llm.common import whole_text, written
 
 #: Template words of a window, and how many of them must be literal for a window whose slots differ.
 WIDTH, LITERALS = 8, 5
@@ -17,7 +17,7 @@ WIDTH, LITERALS = 8, 5
 SHARE = 0.5
 #: Bits of the map of window hashes that tasks hold: 2 MB, whatever the benchmark holds.
 MAP_BITS = 24
-_KEPT = 300_000
+_KEPT = 200_000
 
 #: Words that stand for a quantity's unit.
 UNITS = frozenset(
@@ -29,7 +29,7 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
 _QUANTITY = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([a-zµ°%]+)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_SPACED = re.compile(f"[{SPACES}]+")
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 NUM, UNIT, NAME, QUANTITY = (np.uint64(8 * k) for k in (1, 2, 3, 4))
 _CAPITAL, _ENDS = np.uint64(1), np.uint64(2)
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(1, 65)], dtype=np.uint64)
@@ -46,6 +46,22 @@ class _Codes(dict):
     def __missing__(self, chunk: str) -> int:
         import xxhash
 
+        bare = chunk.strip(_SIGNS)
+        word = bare.lower()
+        if bare.isalpha():  # most words; the other cases need patterns
+            code = int(UNIT) if word in UNITS else xxhash.xxh3_64_intdigest(word) & ~7 | 1 << 63 | (bare[0].isupper() and bare[1:].islower())
+            code |= int(_ENDS) * (chunk[-1] in ".!?:;" or chunk[-2:-1] in (".", "!", "?"))
+        else:
+            code = self._other(chunk)
+        if len(self) >= _KEPT:
+            self.clear()
+        if len(chunk) <= 48:
+            self[chunk] = code
+        return code
+
+    def _other(self, chunk: str) -> int:
+        import xxhash
+
         word = core(chunk)
         if not word:
             code = 0
@@ -61,10 +77,6 @@ class _Codes(dict):
                 bare = _EDGE.sub("", chunk)
                 code |= int(bare[0].isupper() and bare[1:].islower())
             code |= int(_ENDS) * (chunk[-1] in ".!?:;" or chunk[-2:-1] in (".", "!", "?"))
-        if len(self) >= _KEPT:
-            self.clear()
-        if len(chunk) <= 48:
-            self[chunk] = code
         return code
 
 
@@ -78,7 +90,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     before small ones inside a sentence makes a name; at its start it says
     nothing. Names keep their word here, so that both readings can be tried.
     """
-    chunks = _SPACED.split(text) if text else []
+    chunks = text.split()
     code = np.fromiter(map(_codes.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
     keep = code != 0
     if not keep.all():
