@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def slices(spark: SparkSession) -> int:
     """Parts into which the rows of one key are dealt."""
-    return max(64, 2 * parallelism(spark))
+    return max(64, 8 * parallelism(spark))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -123,10 +123,7 @@ class IdEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -168,6 +165,14 @@ class IdEncoder:
             return
         self.ids = tiktoken.Encoding("local", pat_str=split, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library itself, loaded when a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if self.ids is None or any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

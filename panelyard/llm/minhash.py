@@ -18,7 +18,7 @@ BINS = BANDS * ROWS
 BLOCK_LEFT, BLOCK_RIGHT = 256, 1024
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 120_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,8 @@ PRIOR, COST = 3.0, 0.7
 #: Labelled rows that are read at most, taken by the hash of their id.
 MAX_LABELS = 60_000
 _WORD = re.compile(r"\w+")
-_KEPT = 300_000
+#: Words a worker keeps at a time: several such tables live in one worker of a pipeline.
+_KEPT = 120_000
 _BINS = 400
 
 
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kept: dict[str, list[int]] = {}
+        kept: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             sums: dict[tuple[int, int], int] = {}
             for toxic, second, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
                     if slots is None:
                         if len(kept) >= _KEPT:
                             kept.clear()
-                        slots = kept[word] = units(word)
+                        slots = kept[word] = tuple(units(word))
                     for slot in slots:
                         sums[slot, group] = sums.get((slot, group), 0) + 1
             keys = np.array(list(sums), dtype=np.int32).reshape(-1, 2)
@@ -227,7 +228,7 @@ def _calibrate(table) -> Calibration:
     return Calibration(decay, log_size, float(w[0]), float(w[1]))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _scorer(name: int, model) -> tuple[WordScores, Calibration]:
     held = model.value
     return WordScores(held.toxic, held.clean), held.calibration
