@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -212,22 +213,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows, content, n = _live(docs, id_col, text_col)
     names = docs.columns
 
-    def tagged(batches: Iterator) -> Iterator:
-        import hashlib
-
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            out = [hashlib.sha256(t.as_buffer().to_pybytes().lower()).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "_digest"])
-
     # columns are carried by place, so their names cannot clash
     carried = docs.toDF(*[f"_c{k}" for k in range(len(names))])
     own = f"_c{names.index(id_col)}"
-    whole = carried.withColumn("_text", whole_text(f"_c{names.index(text_col)}").cast("binary"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried.schema)
-    marked = whole.mapInArrow(tagged, f"{kinds}, _digest binary")
+    lowered = F.translate(whole_text(f"_c{names.index(text_col)}"), string.ascii_uppercase, string.ascii_lowercase)
+    marked = carried.withColumn("_digest", F.unhex(F.sha2(lowered.cast("binary"), 256)))
     kept = join_groups(marked, content.withColumnRenamed("digest", "_digest"), "_digest", "group_size", n)
     kept = kept.filter(F.col(own).cast("long").eqNullSafe(F.col("keep_id")))
     if not rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import whole_text
+from panelyard.llm.common import small_batches, whole_text, written
 
 #: Slots of the hashed word counts; the model is two numbers per slot whatever the corpus holds.
 SLOTS = 1 << 20
@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
 
     sums = rows.mapInArrow(counted, "slot int, part int, n long").groupBy("slot", "part").agg(F.sum("n").alias("n"))
     # at most SLOTS + 1 slots in four parts
-    table = sums.toArrow()
+    with small_batches(spark):
+        table = sums.toArrow()
     counts = np.zeros((4, SLOTS + 1))
     counts[table["part"].to_numpy(), table["slot"].to_numpy()] = table["n"].to_numpy()
     toxic, clean = counts[1] + counts[3], counts[0] + counts[2]
@@ -189,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col
 
     second = rows.filter("_second").select((F.col("_toxic") == 1).alias("bad"), "text")
     # at most max_labels rows of a few numbers
-    calibrated = second.mapInArrow(summarised, "bad boolean, words long, found array<double>, seen array<double>").toArrow()
+    with small_batches(spark):
+        calibrated = second.mapInArrow(summarised, "bad boolean, words long, found array<double>, seen array<double>").toArrow()
     return ToxicModel(toxic.astype(np.float32), clean.astype(np.float32), _calibrate(calibrated))
 
 
@@ -264,7 +266,7 @@ def passages(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged and unmoved, whose score is below ``threshold``."""
+    """The rows of ``docs``, unchanged, whose score is below ``threshold``; stored once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -279,4 +281,4 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_
                 keep.append(rule.score(rule.evidence(segments(scores), len(scores))) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return written(docs.mapInArrow(kept, docs.schema), "kept")
