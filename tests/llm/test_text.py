@@ -67,6 +67,17 @@ def test_main_text(spark):
     assert main_text(pages, part_chars=300).count() == len(rows)
 
 
+def test_main_text_does_not_depend_on_parts(spark):
+    """A run that few pages of a host share is found wherever its pages are dealt to."""
+    rng = random.Random(5)
+    tails = [" ".join(f"tail{t}w{j}" for j in range(12)) for t in range(10)]
+    rows = [(k, f"http://host.org/{k}", f"<div>{' '.join(f'own{k}x{j}' for j in range(rng.randint(9, 40)))}</div><div>{tails[k % 10]}</div>") for k in range(20)]
+    pages = spark.createDataFrame(rows + [(99, "http://host.org/copy", rows[3][2])], "page_id long, url string, html string")
+    one, many = ({(r["page_id"], r["text"]) for r in main_text(pages, part_chars=n).collect()} for n in (10**9, 200))
+    assert one == many and len(many) == 21
+    assert not any("tail" in text for _, text in many) and all("own" in text for _, text in many)
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
