@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm.common import whole_text, written
 
-#: Template words of a window, and how many of them must be literal for a window whose slots differ.
+#: Template words of a window, and how many literal words a stretch needs whose slots differ.
 WIDTH, LITERALS = 8, 5
 #: Share of an item's windows that make a document contaminated.
 SHARE = 0.5
@@ -83,12 +83,12 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template words, which of them are names, and the chunks they come from.
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Template words, which of them are names, which may be names at a sentence start, and the chunks they come from.
 
     Numbers, units and quantities are typed placeholders. A capital letter
-    before small ones inside a sentence makes a name; at its start it says
-    nothing. Names keep their word here, so that both readings can be tried.
+    before small ones inside a sentence makes a name; at its start it may. Names
+    keep their word here, so that all readings can be tried.
     """
     chunks = text.split()
     code = np.fromiter(map(_codes.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
@@ -97,18 +97,19 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         chunks = [chunks[i] for i in np.flatnonzero(keep)]
         code = code[keep]
     starts = np.concatenate([[True], (code[:-1] & _ENDS) != 0]) if len(code) else keep
-    return code & ~np.uint64(7), ((code & _CAPITAL) != 0) & ~starts, chunks
+    capital = (code & _CAPITAL) != 0
+    return code & ~np.uint64(7), capital & ~starts, capital & starts, chunks
 
 
-def readings(words: np.ndarray, names: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, hashes, slots): all windows with names as words, then those that hold a name with names as slots."""
+def readings(words: np.ndarray, names: np.ndarray, heads: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes): all windows with names as words, those that hold a name with names as slots, those that hold a sentence's capital with that as slot too."""
     plain = window_hashes(words, width)
-    yield np.arange(len(plain)), plain, words < np.uint64(64)
-    if len(plain) and names.any():
-        typed = np.where(names, NAME, words)
-        total = np.concatenate([[0], np.cumsum(names)])
-        at = np.flatnonzero(total[width:] > total[:-width])
-        yield at, window_hashes(typed, width)[at], typed < np.uint64(64)
+    yield np.arange(len(plain)), plain
+    for asked, slots in ((names, names), (heads, names | heads)):
+        if len(plain) and asked.any():
+            total = np.concatenate([[0], np.cumsum(asked)])
+            at = np.flatnonzero(total[width:] > total[:-width])
+            yield at, window_hashes(np.where(slots, NAME, words), width)[at]
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -122,11 +123,19 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out * _ODD[-1]
 
 
-def _slots(at: int, width: int, slot: np.ndarray, chunks: list[str]) -> list[str]:
-    return [core(chunks[i]) for i in (np.flatnonzero(slot[at : at + width]) + at).tolist()]
+def _cells(start: int, end: int, words: np.ndarray, capital: np.ndarray, chunks: list[str]) -> list[str]:
+    """The words of these places behind a sign of their kind: a digit for slots, n for capitals, w for others; empty outside the text."""
+    out = []
+    for i in range(start, end):
+        if not 0 <= i < len(chunks):
+            out.append("")
+            continue
+        kind = str(int(words[i]) >> 3) if words[i] < 64 else "n" if capital[i] else "w"
+        out.append(kind + core(chunks[i]))
+    return out
 
 
-WINDOWS = "id long, at int, width int, hash long, slots array<string>, windows int"
+WINDOWS = "id long, at int, width int, hash long, cells array<string>, windows int"
 
 
 def _windows(rows: DataFrame, width: int, shared=None, widths: tuple[int, ...] = ()) -> DataFrame:
@@ -139,14 +148,14 @@ def _windows(rows: DataFrame, width: int, shared=None, widths: tuple[int, ...] =
         for batch in batches:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, names, chunks = template(text)
+                words, names, heads, chunks = template(text)
                 for w in widths or (min(width, len(words)),):
-                    for at, found, slot in readings(words, names, w) if w else ():
+                    for at, found in readings(words, names, heads, w) if w else ():
                         if shared is not None:
                             asked = _held(shared.value, found)
                             at, found = at[asked], found[asked]
                         for p, h in zip(at.tolist(), found.astype(np.int64).tolist()):
-                            out.append((i, p, w, h, _slots(p, w, slot, chunks), len(words) - w + 1))
+                            out.append((i, p, w, h, _cells(p, p + w, words, names | heads, chunks), len(words) - w + 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
@@ -168,6 +177,68 @@ def _hash_map(windows: DataFrame) -> np.ndarray:
     return bits
 
 
+def _same(a: str, b: str) -> bool:
+    """Whether two cells hold one template word: the same word, or slots of one kind."""
+    return a[1:] == b[1:] if a[0] in "nw" and b[0] in "nw" and a[1:] == b[1:] else a[0] == b[0] != "w"
+
+
+def _joined(old: dict[str, str], pairs: list[tuple[str, str]]) -> dict[str, str] | None:
+    """The mapping of item slots to document slots with these pairs, or nothing where one value would become two."""
+    new = dict(old)
+    return new if all(new.setdefault(a, b) == b for a, b in pairs) else None
+
+
+class Stretch:
+    """Windows of one diagonal in a row whose slot values map from item to document as a function."""
+
+    def __init__(self) -> None:
+        self.pairs: dict[str, str] = {}
+        self.cells: dict[int, tuple[str, str]] = {}
+        self.equal: dict[int, bool] = {}
+
+    def literals(self) -> int:
+        return sum(a[0] in "nw" and a[1:] == b[1:] for a, b in self.cells.values())
+
+    def hits(self) -> list[tuple[int, bool]]:
+        """Place of each window that counts, and whether its slots are equal; they must be where the stretch has few literal words."""
+        enough = self.literals() >= LITERALS
+        return [(at, equal) for at, equal in self.equal.items() if enough or equal]
+
+
+def stretches(met: list[tuple[int, list[str], list[str]]]) -> list[Stretch]:
+    """Cuts the windows (place, item cells, document cells) of a diagonal where a slot value becomes another one.
+
+    A window that is inconsistent by itself is no hit.
+    """
+    out: list[Stretch] = []
+    for at, item, doc in sorted({at: (at, item, doc) for at, item, doc in met}.values()):
+        both = list(zip(item, doc))
+        pairs = [(a, b) for a, b in both if a[0] != "w" and b[0] != "w"]
+        own = _joined({}, pairs)
+        if own is None or not all(_same(a, b) for a, b in both):
+            continue
+        pairs_now = _joined(out[-1].pairs, pairs) if out else None
+        if pairs_now is None:
+            out.append(Stretch())
+            pairs_now = own
+        out[-1].pairs = pairs_now
+        out[-1].cells |= {at + k: c for k, c in enumerate(both)}
+        out[-1].equal[at] = all(a[1:] == b[1:] for a, b in both)
+    return out
+
+
+def _judged(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("equal", pa.bool_())]))
+    for batch in batches:
+        found = []
+        for met in batch.column(5).to_pylist():
+            parts = stretches([(m["at"], m["item_cells"], m["doc_cells"]) for m in met])
+            found.append([{"at": at, "equal": equal} for part in parts for at, equal in part.hits()])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, kind)], names=["doc", "item", "diagonal", "windows", "width", "hits"])
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -176,10 +247,11 @@ def leaks(
     Texts become templates; windows of ``width`` template words of a document
     meet those of the items by hash. Tasks first ask a bit map of fixed size,
     so only windows that may match are shuffled. On each diagonal (document
-    place less item place) the slot values must map one to one; else, and for
-    windows with few literal words, only equal slots count. Names are read both
-    as slots and as words. A document holds
-    an item when ``share`` of the item's windows are hit.
+    place less item place) an item's slot value must stay one value of the
+    document; where it becomes another, a new stretch begins. In stretches with
+    few literal words in all only windows with equal slots count. Names, also
+    those that begin a sentence, are read both as slots and as words. A document
+    holds an item when ``share`` of the item's windows are hit.
 
     An item of fewer than ``width`` words is one window of all its words and,
     with fewer literal words than asked, must agree in its slots. Null, empty
@@ -195,20 +267,13 @@ def leaks(
     if not widths:
         return _empty(docs, id_col, item_col)
     found = written(_windows(rows, width, shared, widths), "found")
-    d = found.select(F.col("id").alias("doc"), F.col("at").alias("doc_at"), "hash", "width", F.col("slots").alias("doc_slots"))
-    i = wanted.select(F.col("id").alias("item"), "at", "hash", "width", F.col("slots").alias("item_slots"), "windows")
-    met = d.join(i, ["hash", "width"]).filter(F.size("doc_slots") == F.size("item_slots"))
-    equal = F.col("doc_slots") == F.col("item_slots")
-    met = met.withColumn("equal", equal).filter(F.col("equal") | (F.col("width") - F.size("item_slots") >= LITERALS))
-    line = met.withColumn("diagonal", F.col("doc_at") - F.col("at"))
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots"))))
-    # a diagonal meets each window of the item once, so its lists are no longer than the item
-    line = line.groupBy("doc", "item", "diagonal", "windows", "width").agg(
-        pairs.alias("pairs"), F.collect_set(F.struct("at", "equal")).alias("hits")
-    )
-    sizes = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) for side in ("item_slots", "doc_slots")]
-    consistent = (sizes[0] == F.size("pairs")) & (sizes[1] == F.size("pairs"))
-    hits = line.select("doc", "item", "diagonal", "windows", "width", consistent.alias("fits"), F.explode("hits").alias("h")).filter("fits or h.equal")
+    d = found.select(F.col("id").alias("doc"), F.col("at").alias("doc_at"), "hash", "width", F.col("cells").alias("doc_cells"))
+    i = wanted.select(F.col("id").alias("item"), "at", "hash", "width", F.col("cells").alias("item_cells"), "windows")
+    met = d.join(i, ["hash", "width"]).withColumn("diagonal", F.col("doc_at") - F.col("at"))
+    # a diagonal meets each window of the item once in each reading, so its lists are no longer than the item
+    line = met.groupBy("doc", "item", "diagonal", "windows", "width").agg(F.collect_list(F.struct("at", "item_cells", "doc_cells")).alias("met"))
+    kinds = "doc long, item long, diagonal int, windows int, width int, hits array<struct<at:int,equal:boolean>>"
+    hits = written(line.mapInArrow(_judged, kinds), "hits").withColumn("h", F.explode("hits"))
     once = hits.groupBy("doc", "item", "windows", "width", F.col("h.at").alias("at")).agg(
         F.min(F.col("diagonal") + F.col("h.at")).alias("first"), F.max(F.col("diagonal") + F.col("h.at") + F.col("width")).alias("last"),
         F.max(F.col("h.equal")).alias("equal"),

@@ -156,6 +156,27 @@ def test_leaks(spark, docs):
     assert {5, 6, 7, 8, 10, None} <= set(ids) and not {1, 2, 3, 9} & set(ids)
 
 
+FARM = "The farmer keeps 12 brown cows in the northern barn and feeds 7 of the small calves each morning before the children walk to school."
+DENSE = "Add 3 kg and 4 kg and 5 kg to 6 kg then 7 kg and 8 kg and 9 kg before the cook weighs the whole basket."
+WORDY = "Maria bought nine red apples. Peter gave her four more pears. Maria ate two of them today. Peter then sold the rest."
+
+
+def test_leaks_with_other_slots(spark, docs):
+    rows = [
+        (1, FARM.replace("12", "30").replace("7", "30")),
+        (2, DENSE.translate(str.maketrans("3456789", "7689354"))),
+        (3, WORDY.replace("Maria", "Sofia").replace("Peter", "Oscar")),
+        # one number becomes two, far from each other
+        (4, (FARM + " " + FARM).replace("12", "30", 1)),
+        (5, "3 kg and 4 kg and 5 kg and 6 kg and 7 kg and 8 kg and 9 kg"),
+    ]
+    items = spark.createDataFrame([(1, FARM), (2, DENSE), (3, WORDY), (4, FARM + " " + FARM)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(docs(rows), items).collect()}
+    assert {(1, 1), (2, 2), (3, 3), (4, 4)} <= set(got) and not any(d == 5 for d, _ in got)
+    for pair in ((1, 1), (2, 2), (3, 3)):
+        assert got[pair]["hits"] == got[pair]["windows"]
+
+
 def brute_segments(scores):
     """Recursively: the best sum, the shortest and leftmost of equal ones, then both sides."""
     best = None
