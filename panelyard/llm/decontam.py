@@ -15,6 +15,8 @@ from panelyard.llm.common import whole_text, written
 WIDTH, LITERALS = 8, 5
 #: Share of an item's windows that make a document contaminated.
 SHARE = 0.5
+#: Matching template words in a row that do so too, single changed words between them aside, and the words around a window that are looked at.
+ROW, AROUND = 13, 10
 #: Bits of the map of window hashes that tasks hold: 2 MB, whatever the benchmark holds.
 MAP_BITS = 24
 _KEPT = 200_000
@@ -155,7 +157,7 @@ def _windows(rows: DataFrame, width: int, shared=None, widths: tuple[int, ...] =
                             asked = _held(shared.value, found)
                             at, found = at[asked], found[asked]
                         for p, h in zip(at.tolist(), found.astype(np.int64).tolist()):
-                            out.append((i, p, w, h, _cells(p, p + w, words, names | heads, chunks), len(words) - w + 1))
+                            out.append((i, p, w, h, _cells(p - AROUND, p + w + AROUND, words, names | heads, chunks), len(words) - w + 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
@@ -195,6 +197,42 @@ class Stretch:
         self.pairs: dict[str, str] = {}
         self.cells: dict[int, tuple[str, str]] = {}
         self.equal: dict[int, bool] = {}
+        self.around: dict[int, tuple[str, str]] = {}
+
+    def fits(self, at: int) -> bool:
+        a, b = self.around.get(at, ("", ""))
+        return bool(a and b) and _same(a, b) and (a[0] == "w" or b[0] == "w" or self.pairs.get(a, b) == b)
+
+    def rows(self, width: int, words: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, matching words) of the runs of windows that count, grown over matching words and single changed ones.
+
+        Behind a changed word two words must match, or one at the item's end.
+        With few literal words, slots must be equal and no word changed.
+        """
+        places = sorted(at for at, _ in self.hits())
+        for k, start in enumerate(places):
+            if k and places[k - 1] + width >= start:
+                continue
+            ends, matched, first = [], set(), start
+            for step, at in ((-1, start - 1), (1, start)):
+                last = at - step
+                while 0 <= at < words:
+                    after = [x for x in (at + step, at + 2 * step) if 0 <= x < words]
+                    if self.fits(at):
+                        matched.add(at)
+                        last = at
+                    elif at - step != last or not after or not all(map(self.fits, after)):
+                        break
+                    at += step
+                ends.append(last)
+            equal = [x for x in sorted(matched) if self.around[x][0][1:] == self.around[x][1][1:]]
+            if sum(self.around[x][0][0] in "nw" for x in equal) >= LITERALS:
+                yield ends[0], ends[1] + 1, len(matched)
+                continue
+            for at, x in enumerate(equal):
+                first = first if at and equal[at - 1] == x - 1 else x
+                if equal[at + 1 : at + 2] != [x + 1]:
+                    yield first, x + 1, x + 1 - first
 
     def literals(self) -> int:
         return sum(a[0] in "nw" and a[1:] == b[1:] for a, b in self.cells.values())
@@ -206,13 +244,14 @@ class Stretch:
 
 
 def stretches(met: list[tuple[int, list[str], list[str]]]) -> list[Stretch]:
-    """Cuts the windows (place, item cells, document cells) of a diagonal where a slot value becomes another one.
+    """Cuts the windows (place, item cells, document cells, each with those around) of a diagonal where a slot value becomes another one.
 
     A window that is inconsistent by itself is no hit.
     """
     out: list[Stretch] = []
     for at, item, doc in sorted({at: (at, item, doc) for at, item, doc in met}.values()):
-        both = list(zip(item, doc))
+        around = {at - AROUND + k: c for k, c in enumerate(zip(item, doc))}
+        both = list(zip(item, doc))[AROUND:-AROUND]
         pairs = [(a, b) for a, b in both if a[0] != "w" and b[0] != "w"]
         own = _joined({}, pairs)
         if own is None or not all(_same(a, b) for a, b in both):
@@ -223,24 +262,36 @@ def stretches(met: list[tuple[int, list[str], list[str]]]) -> list[Stretch]:
             pairs_now = own
         out[-1].pairs = pairs_now
         out[-1].cells |= {at + k: c for k, c in enumerate(both)}
+        out[-1].around |= around
         out[-1].equal[at] = all(a[1:] == b[1:] for a, b in both)
     return out
 
 
-def _judged(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _judged(row: int):
+    """Adds hits, and start and end in item places of rows long enough: ``row`` words, or all but one of a shorter item."""
 
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("equal", pa.bool_())]))
-    for batch in batches:
-        found = []
-        for met in batch.column(5).to_pylist():
-            parts = stretches([(m["at"], m["item_cells"], m["doc_cells"]) for m in met])
-            found.append([{"at": at, "equal": equal} for part in parts for at, equal in part.hits()])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, kind)], names=["doc", "item", "diagonal", "windows", "width", "hits"])
+    def judge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("equal", pa.bool_()), ("first", pa.int32()), ("last", pa.int32())]))
+        for batch in batches:
+            found = []
+            for windows, width, met in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5))):
+                words, out = windows + width - 1, []
+                for part in stretches([(m["at"], m["item_cells"], m["doc_cells"]) for m in met]):
+                    long = [(x, y) for x, y, n in part.rows(width, words) if n >= min(row, max(width, words - 1))]
+                    for at, equal in part.hits():
+                        first, last = next(((x, y) for x, y in long if x <= at < y), (None, None))
+                        out.append({"at": at, "equal": equal, "first": first, "last": last})
+                found.append(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, kind)], names=["doc", "item", "diagonal", "windows", "width", "hits"])
+
+    return judge
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    row: int = ROW,
 ) -> DataFrame:
     """One row per document and benchmark item it holds: hits, windows, start and end in words.
 
@@ -251,7 +302,9 @@ def leaks(
     document; where it becomes another, a new stretch begins. In stretches with
     few literal words in all only windows with equal slots count. Names, also
     those that begin a sentence, are read both as slots and as words. A document
-    holds an item when ``share`` of the item's windows are hit.
+    holds an item when ``share`` of the item's windows are hit, or when ``row``
+    template words in a row match, all but one of a shorter item, with single
+    changed words between them.
 
     An item of fewer than ``width`` words is one window of all its words and,
     with fewer literal words than asked, must agree in its slots. Null, empty
@@ -272,16 +325,17 @@ def leaks(
     met = d.join(i, ["hash", "width"]).withColumn("diagonal", F.col("doc_at") - F.col("at"))
     # a diagonal meets each window of the item once in each reading, so its lists are no longer than the item
     line = met.groupBy("doc", "item", "diagonal", "windows", "width").agg(F.collect_list(F.struct("at", "item_cells", "doc_cells")).alias("met"))
-    kinds = "doc long, item long, diagonal int, windows int, width int, hits array<struct<at:int,equal:boolean>>"
-    hits = written(line.mapInArrow(_judged, kinds), "hits").withColumn("h", F.explode("hits"))
+    kinds = "doc long, item long, diagonal int, windows int, width int, hits array<struct<at:int,equal:boolean,first:int,last:int>>"
+    hits = written(line.mapInArrow(_judged(row), kinds), "hits").withColumn("h", F.explode("hits"))
     once = hits.groupBy("doc", "item", "windows", "width", F.col("h.at").alias("at")).agg(
-        F.min(F.col("diagonal") + F.col("h.at")).alias("first"), F.max(F.col("diagonal") + F.col("h.at") + F.col("width")).alias("last"),
-        F.max(F.col("h.equal")).alias("equal"),
+        F.min(F.col("diagonal") + F.coalesce("h.first", "h.at")).alias("first"),
+        F.max(F.col("diagonal") + F.coalesce(F.col("h.last"), F.col("h.at") + F.col("width"))).alias("last"),
+        F.max(F.col("h.equal")).alias("equal"), F.max(F.col("h.first").isNotNull()).alias("long"),
     )
     out = once.groupBy("doc", "item", "windows").agg(
-        F.count(F.lit(1)).alias("hits"), F.sum(F.col("equal").cast("long")).alias("equal_hits"), F.min("first").alias("start"), F.max("last").alias("end")
+        F.count(F.lit(1)).alias("hits"), F.sum(F.col("equal").cast("long")).alias("equal_hits"), F.min("first").alias("start"), F.max("last").alias("end"), F.max("long").alias("long")
     )
-    out = out.filter(F.col("hits") >= share * F.col("windows"))
+    out = out.filter((F.col("hits") >= share * F.col("windows")) | F.col("long"))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "hits", "equal_hits", F.col("windows").cast("long").alias("windows"), "start", "end")
 
 

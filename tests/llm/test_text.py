@@ -177,6 +177,22 @@ def test_leaks_with_other_slots(spark, docs):
         assert got[pair]["hits"] == got[pair]["windows"]
 
 
+def test_leaks_of_parts(spark, docs):
+    """A long quote of a longer item, and a short item with one changed word, are leaks; shorter quotes are not."""
+    long = " ".join(f"item{k}" for k in range(100))
+    short = " ".join(f"brief{k}" for k in range(16))
+    split = long.split()[:20]
+    split[9] = "other"
+    rows = [
+        (1, "before " + " ".join(long.split()[30:70]) + " after"), (2, short.replace("brief8", "changed")), (3, "before " + " ".join(long.split()[30:42]) + " after"),
+        (4, " ".join(split)), (5, " ".join(long.split()[:9] + ["x", "y"] + long.split()[11:16])),
+    ]
+    items = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(docs(rows), items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 1)}
+    assert (got[1, 1]["start"], got[1, 1]["end"]) == (1, 41) and (got[2, 2]["start"], got[2, 2]["end"]) == (0, 16)
+
+
 def brute_segments(scores):
     """Recursively: the best sum, the shortest and leftmost of equal ones, then both sides."""
     best = None
