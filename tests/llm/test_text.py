@@ -78,6 +78,18 @@ def test_main_text_does_not_depend_on_parts(spark):
     assert not any("tail" in text for _, text in many) and all("own" in text for _, text in many)
 
 
+@pytest.mark.parametrize("part_chars", [10**9, 300])
+def test_main_text_of_copies_and_of_runs_in_articles(spark, part_chars):
+    line = "this work may be copied by all who name its first author"
+    own = [" ".join(f"own{k}x{j}" for j in range(30)) for k in range(4)]
+    copied, near = (" ".join(f"{name}{j}" for j in range(40)) for name in ("copied", "near"))
+    rows = [(k, f"<nav>menu {k}</nav><article><p>{own[k]}</p><p>{line}</p></article>", own[k]) for k in range(4)]
+    rows += [(10 + k, f"<nav>menu {k}</nav><div>{copied}</div>", copied) for k in range(3)]
+    rows += [(20 + k, f"<article><p>{near} end{k}</p></article>", f"{near} end{k}") for k in range(2)]
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h, _ in rows], "page_id long, url string, html string")
+    assert {(r["page_id"], r["text"]) for r in main_text(pages, part_chars=part_chars).collect()} == {(i, text) for i, _, text in rows}
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
