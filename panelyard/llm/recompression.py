@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import join_groups, whole_text, written
 from panelyard.llm.minhash import mixed
 
-#: Words of a window.
-WINDOW = 50
+#: Words of a window, and bytes of its key.
+WINDOW, KEY_BYTES = 50, 12
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _WORDS_KEPT = 120_000
 _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -51,13 +51,13 @@ def word_names(words: list[bytes]) -> np.ndarray:
 
 
 def rounds_for(window: int) -> int:
-    """Levels after which windows still hold some names of their own.
+    """Levels after which windows still hold several names of their own.
 
     A level makes names a third longer on average and takes one and a half
     names from each end of a window; up to half of the window may go.
     """
     level, lost, size = 0, 0.0, 1.0
-    while lost + 3 * size <= 0.6 * window:
+    while lost + 3 * size <= 0.5 * window:
         level, lost, size = level + 1, lost + 3 * size, size * 4 / 3
     return max(1, level)
 
@@ -125,7 +125,7 @@ def window_starts(sizes: np.ndarray, window: int) -> np.ndarray:
 
 
 def window_keys(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """128-bit keys of the windows at these words, from prefix sums of names times powers."""
+    """Two 64-bit keys of the windows at these words, from prefix sums of names times powers."""
     out = np.empty((len(at), 2), np.uint64)
     for k, (factor, inverse) in enumerate(zip(_FACTORS, _INVERSES)):
         powers = np.cumprod(np.append(np.uint64(1), np.full(len(names), factor, np.uint64)))
@@ -136,11 +136,9 @@ def window_keys(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def reaches(left: np.ndarray, right: np.ndarray, size: int, first: int) -> np.ndarray:
-    """For each of ``size`` names from ``first`` on, the nearest end of the names a window beginning with it needs."""
-    out = np.full(size, _NEVER, np.int64)
-    np.minimum.at(out, left - first, right - first)
-    return out
+def asked(parse: Parse) -> np.ndarray:
+    """How many of the names before each place count: every second one by its hash, everywhere the same."""
+    return np.append(0, np.cumsum(mixed(parse.names ^ _LEFT) & np.uint64(1) == 0))
 
 
 def fits(ordinals: np.ndarray, reach: np.ndarray) -> bool:
@@ -173,41 +171,66 @@ def joined_digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+class _Block:
+    """Texts of a block with the names their windows need.
+
+    A window needs the asked names it determines, ``low[p]`` to ``high[p]``
+    in order; one that determines none, as in one word said over and over,
+    is open and needs its own key.
+    """
+
+    def __init__(self, words: list[list[bytes]], window: int, rounds: int) -> None:
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = word_names([w for found in words for w in found])
+        parse = Parse(self.words, self.sizes, rounds)
+        before = asked(parse)
+        self.names = parse.names[np.flatnonzero(np.diff(before))]
+        #: the asked names before each text
+        self.first = before[np.searchsorted(parse.at, np.append(self.starts, len(self.words)))]
+        self.at = window_starts(self.sizes, window)
+        self.text = np.searchsorted(np.cumsum(self.sizes), self.at, side="right")
+        self.low = before[parse.left[self.at]]
+        self.high = np.maximum(before[parse.right[self.at + window]], self.low)
+        self.open = np.flatnonzero(self.high == self.low)
+        self.open_keys = window_keys(self.words, self.at[self.open], window)[:, 0] if len(self.open) else np.zeros(0, np.uint64)
+
+    def open_of(self, text: int) -> tuple[np.ndarray, np.ndarray]:
+        """The open windows of a text and their keys."""
+        a, b = np.searchsorted(self.text[self.open], [text, text + 1])
+        return self.open[a:b], self.open_keys[a:b]
+
+
 def named_texts(texts: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(doc_id, digest, n_words, all_sha256, open, names, reach) of (doc_id, digest, text).
+    """(doc_id, digest, n_words, all_sha256, names, reach) of (doc_id, digest, text).
 
-    ``names`` are those of the last level in order, for texts that hold a
-    window; ``reach`` says for each how many names from it on the shortest
-    window beginning there determines, 0 where none does. ``open`` texts have
-    windows that determine no name at all, as in one word said over and over.
+    ``names`` are the asked names of the last level in order, then the distinct
+    keys of open windows; ``reach`` says for each where the names end that the
+    shortest window beginning with it needs.
     """
-    kinds = "doc_id long, digest binary, n_words long, all_sha256 string, open boolean, names array<long>, reach array<int>"
+    kinds = "doc_id long, digest binary, n_words long, all_sha256 string, names array<long>, reach array<int>"
 
     def parsed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for rows, words, batch in _blocks(batches, 2):
-            sizes = np.array([len(w) for w in words], np.int64)
-            parse = Parse(word_names([w for found in words for w in found]), sizes, rounds)
-            bounds = np.searchsorted(parse.at, np.append(np.cumsum(sizes) - sizes, sizes.sum()))
-            starts = np.cumsum(sizes) - sizes
-            free, names, reach = [], [], []
-            for k, size in enumerate(sizes):
+            block = _Block(words, window, rounds)
+            near = np.full(len(block.names) + 1, _NEVER, np.int64)
+            held = block.high > block.low
+            np.minimum.at(near, block.low[held], block.high[held])
+            names, reach = [], []
+            for k, size in enumerate(block.sizes):
                 if size < window:
-                    free.append(False)
-                    names.append(None)
-                    reach.append(None)
+                    names.append([])
+                    reach.append([])
                     continue
-                at = np.arange(starts[k], starts[k] + size - window + 1)
-                left, right = parse.left[at], parse.right[at + window]
-                held = right > left
-                lo, hi = bounds[k], bounds[k + 1]
-                near = reaches(left[held], right[held], hi - lo, lo)
-                free.append(not held.all())
-                names.append(parse.names[lo:hi].astype(np.int64))
-                reach.append(np.where(near < _NEVER, near - np.arange(hi - lo), 0).astype(np.int32))
-            columns = [batch.column(c).take(pa.array(rows)) for c in (0, 1)]
-            columns += [pa.array(sizes), pa.array([joined_digest(w) for w in words], pa.string()), pa.array(free, pa.bool_())]
+                lo, hi = block.first[k], block.first[k + 1]
+                own = np.unique(block.open_of(k)[1])
+                ends = np.where(near[lo:hi] < _NEVER, near[lo:hi] - lo, _NEVER)
+                names.append(np.append(block.names[lo:hi], own).astype(np.int64))
+                reach.append(np.append(ends, np.arange(hi - lo, hi - lo + len(own)) + 1).astype(np.int32))
+            columns = [batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)]
+            columns += [pa.array(block.sizes, pa.int64()), pa.array([joined_digest(w) for w in words], pa.string())]
             columns += [pa.array(names, pa.list_(pa.int64())), pa.array(reach, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in kinds.split(", ")])
 
@@ -215,76 +238,83 @@ def named_texts(texts: DataFrame, window: int, rounds: int) -> DataFrame:
 
 
 def shared_names(parsed: DataFrame) -> DataFrame:
-    """(doc_id, digest, ordinals) of the texts with a window whose names all stand in two documents or more."""
-    names = parsed.filter("doc_id is not null").select("doc_id", "digest", F.posexplode_outer(F.arrays_zip("names", "reach")).alias("ordinal", "cell"))
-    names = names.filter("cell is not null").select("doc_id", "digest", "ordinal", F.col("cell.names").alias("name"), F.col("cell.reach").alias("reach"))
-    # a name of one document's only can be in no window that another has
-    sums = names.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size"))
+    """(row, ordinals) of the texts with a window whose names all stand in two rows or more."""
+    names = parsed.select("row", F.posexplode(F.arrays_zip("names", "reach")).alias("ordinal", "cell"))
+    # place and reach travel as one number
+    names = names.select("row", F.col("cell.names").alias("name"), (F.shiftleft(F.col("ordinal").cast("long"), 32) + F.col("cell.reach")).alias("cell"))
+    # a name of one text only can be in no window that another has
+    sums = names.groupBy("name").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("size"))
     shared = written(sums.filter("low < high").select("name", "size"), "shared-names")
     total = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    held = join_groups(names, shared, "name", "size", total).drop("size", "name")
+    held = join_groups(names, shared, "name", "size", total).select("row", "cell")
     # bounded by the names of one text
-    marks = held.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("ordinal", "reach"))).alias("cells"))
+    marks = held.groupBy("row").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
 
     def chosen(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keep, ordinals = [], []
-            for cells in batch.column(2):
-                values = cells.values
-                place, reach = values.field(0).to_numpy().astype(np.int64), values.field(1).to_numpy().astype(np.int64)
-                keep.append(fits(place, np.where(reach > 0, place + reach, _NEVER)))
-                ordinals.append(place)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ordinals, pa.list_(pa.int32()))], names=["doc_id", "digest", "ordinals"])
+            cells = [c.values.to_numpy() for c in batch.column(1)]
+            keep = [fits(c >> 32, c & _NEVER) for c in cells]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([(c >> 32).astype(np.int32) for c in cells], pa.list_(pa.int32()))], names=["row", "ordinals"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return marks.mapInArrow(chosen, "doc_id long, digest binary, ordinals array<int>")
+    return marks.mapInArrow(chosen, "row long, ordinals array<int>")
 
 
 def _candidates(touched: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(doc_id, digest, at, key) of the windows of (doc_id, digest, text, ordinals) all of whose names are shared."""
+    """(key, doc_id, row) of the distinct windows of (doc_id, row, text, ordinals) all of whose names are shared."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for rows, words, batch in _blocks(batches, 2):
-            sizes = np.array([len(w) for w in words], np.int64)
-            names = word_names([w for found in words for w in found])
-            parse = Parse(names, sizes, rounds)
-            bounds = np.searchsorted(parse.at, np.cumsum(sizes) - sizes)
-            shared = np.zeros(len(parse.names) + 1, bool)
-            for row, first in zip(rows, bounds):
-                places = batch.column(3)[row].values
-                if places is not None and len(places):
-                    shared[first + places.to_numpy()] = True
-            alone = np.append(0, np.cumsum(~shared[:-1]))
-            at = window_starts(sizes, window)
-            left, right = parse.left[at], parse.right[at + window]
-            at = at[(right <= left) | (alone[np.maximum(left, right)] == alone[left])]
-            text = np.searchsorted(np.cumsum(sizes), at, side="right")
-            keys = window_keys(names, at, window)
-            columns = [batch.column(c).take(pa.array(np.array(rows, np.int64)[text])) for c in (0, 1)]
-            columns += [pa.array((at - (np.cumsum(sizes) - sizes)[text]).astype(np.int32)), pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "at", "key"])
-
-    return touched.select("doc_id", "digest", "text", "ordinals").mapInArrow(cut, "doc_id long, digest binary, at int, key binary")
+            block = _Block(words, window, rounds)
+            shared = np.zeros(len(block.names), bool)
+            chosen = np.zeros(len(block.at), bool)
+            for k, row in enumerate(rows):
+                lo, hi = block.first[k], block.first[k + 1]
+                places = batch.column(3)[row].values.to_numpy()
+                shared[lo + places[places < hi - lo]] = True
+                at, keys = block.open_of(k)
+                chosen[at] = np.isin(keys, np.unique(keys)[places[places >= hi - lo] - (hi - lo)])
+            alone = np.append(0, np.cumsum(~shared))
+            chosen |= (block.high > block.low) & (alone[block.high] == alone[block.low])
+            keys = window_keys(block.words, block.at[chosen], window)
+            text, keys = block.text[chosen], keys.view([("", np.uint64)] * 2).ravel()
+            # a window is told once for its text
+            _, once = np.unique(np.rec.fromarrays([text, keys["f0"], keys["f1"]]), return_index=True) if len(keys) else (None, np.zeros(0, np.int64))
+            columns = [key_bytes(keys[once]), *(batch.column(c).take(pa.array(np.array(rows, np.int64)[text[once]])) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "row"])
+
+    return touched.select("doc_id", "row", "text", "ordinals").mapInArrow(cut, "key binary, doc_id long, row long")
+
+
+def key_bytes(keys: np.ndarray):
+    """Pairs of 64-bit keys as 12 bytes each."""
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), 16)[:, :KEY_BYTES]
+    return pa.Array.from_buffers(pa.binary(KEY_BYTES), len(keys), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
 def _cut(touched: DataFrame, window: int) -> DataFrame:
-    """(doc_id, digest, n_removed, kept_sha256, kept) of (doc_id, digest, text, starts): the words outside the windows that start there."""
+    """(row, doc_id, n_removed, kept_sha256, kept) of (row, doc_id, text, gone): the words outside the windows with these keys."""
 
     def removed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             gone, sha, kept = [], [], []
-            for text, starts in zip(batch.column(2), batch.column(3)):
+            for text, keys in zip(batch.column(2), batch.column(3)):
                 words = split_words(text.as_buffer().to_pybytes())
+                own = window_keys(word_names(words), np.arange(len(words) - window + 1), window)
+                own = np.frombuffer(own.tobytes(), np.uint8).reshape(-1, 16)[:, :KEY_BYTES].tobytes()
+                asked = set(keys.values.to_pylist())
+                at = np.array([p for p in range(len(words) - window + 1) if own[KEY_BYTES * p : KEY_BYTES * (p + 1)] in asked], np.int64)
                 steps = np.zeros(len(words) + 1, np.int64)
-                at = starts.values.to_numpy()
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
+                steps[at] += 1
+                steps[at + window] -= 1
                 stay = np.cumsum(steps[:-1]) == 0
                 left = [w for w, s in zip(words, stay) if s]
                 gone.append(len(words) - len(left))
@@ -292,21 +322,21 @@ def _cut(touched: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=names)
 
-    names = ["doc_id", "digest", "n_removed", "kept_sha256", "kept"]
-    return touched.select("doc_id", "digest", "text", "starts").mapInArrow(removed, "doc_id long, digest binary, n_removed long, kept_sha256 string, kept binary")
+    names = ["row", "doc_id", "n_removed", "kept_sha256", "kept"]
+    return touched.select("row", "doc_id", "text", "gone").mapInArrow(removed, "row long, doc_id long, n_removed long, kept_sha256 string, kept binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: (doc_id, digest, n_words, n_removed, kept_sha256) of every row, and (doc_id, digest, kept) of the texts cut in part.
+    """Two tables: (doc_id, n_words, n_removed, kept_sha256) of every row, and (doc_id, kept) of the texts cut in part.
 
     A window is ``window`` words in a row. A word goes when a window over it
     has the words of a window that starts in a document with a smaller id.
 
-    Equal texts are folded first: all but those with the smallest id lose all
-    their words if they hold a window at all. The others are compressed for
-    some levels by names that depend on the words alone, a global count
-    finds the names of two documents or more, and only windows made of such
-    names are keyed by 128 bits and compared. No window that occurs in two
+    Texts are compressed for some levels by names that depend on the words
+    alone. Equal texts are folded: all but those with the smallest id lose all
+    their words if they hold a window at all. Of the others a global count
+    finds the names that several texts have, and only windows made of such
+    names are keyed by 96 bits and compared. No window that occurs in two
     documents is lost: its names occur in both.
 
     Null and empty texts have no words. Null ids are neither smaller nor
@@ -317,32 +347,30 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     rounds = rounds_for(window)
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.cast("binary").alias("text"))
-    light = written(rows.select("doc_id", "digest"), "texts")
-    n_rows = light.count()
+    parsed = written(named_texts(rows, window, rounds).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    n_rows = parsed.count()
+    light = parsed.select("row", "doc_id", "digest", "n_words", "all_sha256")
     groups = written(light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")), "groups")
-    # one row of each text goes on: that with the smallest id
-    copies = join_groups(light, groups, "digest", "size", n_rows).filter("not doc_id <=> first").select("doc_id", "digest").distinct()
-    copies = written(copies, "copies")
-    parsed = written(named_texts(rows.join(copies, ["doc_id", "digest"], "left_anti"), window, rounds), "parsed")
-    marks = shared_names(parsed)
-    free = parsed.filter("open and doc_id is not null").select("doc_id", "digest")
-    asked = written(marks.unionByName(free.join(marks, ["doc_id", "digest"], "left_anti").withColumn("ordinals", F.array().cast("array<int>"))), "asked")
-    touched = written(rows.join(asked, ["doc_id", "digest"]), "touched")
+    folded = written(join_groups(light, groups, "digest", "size", n_rows), "folded")
+    # of equal texts those with the smallest id go on
+    copies = folded.filter("not doc_id <=> first or doc_id is null").select("row")
+    marks = written(shared_names(parsed.select("row", "names", "reach").join(copies, "row", "left_anti")), "marks")
+    asked = folded.select("row", "doc_id", "digest").join(marks, "row")
+    few = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
+    touched = written(few.join(asked, ["doc_id", "digest"]).drop("digest"), "touched")
     windows = written(_candidates(touched, window, rounds), "windows")
     sums = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size"))
     again = written(sums.filter("low < high").drop("high"), "again")
     total = again.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     later = join_groups(windows, again, "key", "size", total).filter("doc_id > low")
-    # bounded by the words of one text
-    starts = later.groupBy("doc_id", "digest").agg(F.collect_list("at").alias("starts"))
-    cut = written(_cut(touched.drop("ordinals").join(starts, ["doc_id", "digest"]), window), "cut")
-    known = parsed.select("digest", "n_words", "all_sha256").dropDuplicates(["digest"])
-    changed = cut.select("digest", "n_removed", "kept_sha256").dropDuplicates(["digest"])
-    known = written(known.join(changed, "digest", "left").join(groups, "digest"), "known")
-    every = join_groups(light, known, "digest", "size", n_rows)
-    copy = F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
-    own = F.col("doc_id").eqNullSafe(F.col("first"))
-    gone = F.when(copy, F.col("n_words")).when(own, F.coalesce("n_removed", F.lit(0))).otherwise(F.lit(0))
-    sha = F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).when(own, F.coalesce("kept_sha256", "all_sha256")).otherwise(F.col("all_sha256"))
-    found = every.select("doc_id", "digest", "n_words", gone.cast("long").alias("n_removed"), sha.alias("kept_sha256"))
-    return found.withColumnRenamed("doc_id", id_col), cut.select(F.col("doc_id").alias(id_col), "digest", "kept")
+    # bounded by the windows of one text
+    gone = later.groupBy("row").agg(F.collect_list("key").alias("gone"))
+    cut = written(_cut(touched.drop("ordinals").join(gone, "row"), window), "cut")
+    every = folded.join(cut.select("row", "n_removed", "kept_sha256"), "row", "left")
+    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
+    found = every.select(
+        F.col("doc_id").alias(id_col), "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
+    )
+    return found, cut.select(F.col("doc_id").alias(id_col), "kept")
