@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.session import parallelism
+from panelyard.session import parallelism, stored
 
 
 def _as_double(df: DataFrame, column: str) -> Column:
@@ -153,3 +153,17 @@ def exact_quantiles(
         F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))
     ]
     return found.select(*by, F.array(*points).alias(out))
+
+
+def ranked_by(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Add a number from 1 by a sortable column of any type: rows are ranged by it, sorted in their range, and counted.
+
+    Rows that agree in ``key`` take neighbouring numbers in no given order.
+    """
+    part = stored(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranged")
+    rows = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row per partition
+    earlier = F.broadcast(rows.select("_part", before.alias("_before")))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return part.withColumn("_in", within).join(earlier, "_part").select(*df.columns, (F.col("_before") + F.col("_in")).alias(out))

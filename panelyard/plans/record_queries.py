@@ -11,7 +11,7 @@ from panelyard.operators import dedupe as U
 from panelyard.operators import intake as I
 from panelyard.operators import records as R
 from panelyard.plans.registry import query, table
-from panelyard.session import checkpointed
+from panelyard.session import checkpointed, scratch_path
 from panelyard.sources import tables as S
 
 
@@ -124,7 +124,7 @@ def dated_documents(spark, d):
     """Documents with a language as county and a start and end day from the id."""
     start = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 500).cast("int"))
     end = F.when(F.col("doc_id") % 3 != 0, F.date_add(start, (F.col("doc_id") % 45).cast("int")))
-    return table(spark, d, "documents").select("doc_id", "lang", "text", start.alias("start"), end.alias("end"))
+    return table(spark, d, "documents").select("doc_id", "lang", "text", "source", start.alias("start"), end.alias("end"))
 
 
 def twice_reported_turns(spark, d):
@@ -149,8 +149,8 @@ def near_dup_pairs(spark, d):
 
 @query("near_dup_documents")
 def near_dup_documents(spark, d):
-    """The same over whole documents of any length."""
-    return U.near_duplicate_pairs(dated_documents(spark, d), "doc_id", "text", "lang", "start", "end")
+    """The same over whole documents of any length, with their sources."""
+    return U.near_duplicate_pairs(dated_documents(spark, d), "doc_id", "text", "lang", "start", "end", source="source")
 
 
 @query(
@@ -416,12 +416,17 @@ def json_records(spark, d):
     FROM orders GROUP BY 1""",
 )
 def split_flag(spark, d):
+    """Suspect and clear orders written to a folder each, and both folders read back."""
     from panelyard.functions.cleaning import suspect_date, without_suspect_dates
+    from panelyard.sources.tables import write_split
 
     flagged = table(spark, d, "orders").withColumn("is_suspect", suspect_date(F.col("o_orderdate")))
-    kept = without_suspect_dates(flagged, "is_suspect", exclude=True)
-    suspect = flagged.filter("is_suspect")
-    return suspect.unionByName(kept).groupBy("is_suspect").agg(
+    path = scratch_path(spark, "split")
+    write_split(flagged, "is_suspect", path)
+    # a folder's name gives the flag back as text
+    back = spark.read.parquet(path).withColumn("is_suspect", F.col("is_suspect").cast("boolean"))
+    kept = without_suspect_dates(back, "is_suspect", exclude=True)
+    return back.filter("is_suspect").unionByName(kept).groupBy("is_suspect").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key")
     )
 
@@ -432,8 +437,6 @@ def split_flag(spark, d):
 )
 def typed_read(spark, d):
     """Write orders as text in a CSV folder and read them back with a schema."""
-    from panelyard.session import scratch_path
-
     path = scratch_path(spark, "orders-csv")
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
     S.write_csv(o, path)

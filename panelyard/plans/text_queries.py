@@ -214,15 +214,16 @@ def match_report(spark, d):
 
 @query(
     "exact_match_share",
-    f"""WITH canon AS (SELECT DISTINCT {NAME_SQL.format(c="p_name")} AS norm FROM part)
-    SELECT p_partkey, n.norm IN (SELECT norm FROM canon) AS is_exact FROM (
-      SELECT p_partkey, {NAME_SQL.format(c="upper(replace(p_name, ' ', '-'))")} AS norm FROM part WHERE p_partkey % 4 = 0
-      UNION ALL SELECT p_partkey, {NAME_SQL.format(c="p_name")} FROM part WHERE p_partkey % 4 = 3) n""",
+    f"""WITH canon AS (SELECT DISTINCT {NAME_SQL.format(c="p_name")} AS norm FROM part),
+    dirty AS (
+      SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(replace(p_name, ' ', '-'))
+        WHEN 1 THEN '  ' || replace(p_name, 'e', 'é') || ' 7' WHEN 2 THEN p_name || '''s!' ELSE p_name END AS raw_name FROM part)
+    SELECT p_partkey, {NAME_SQL.format(c="raw_name")} IN (SELECT norm FROM canon) AS is_exact FROM dirty""",
 )
 def exact_match_share(spark, d):
-    """Which of the names that differ in case and hyphens only are found exactly."""
+    """Which of all the dirtied names are found exactly."""
     matched = N.match_areas(dirty_names(spark, d), "raw_name", canonical_parts(spark, d))
-    return matched.filter("p_partkey % 4 IN (0, 3)").select("p_partkey", (F.col("match_method") == "exact").alias("is_exact"))
+    return matched.select("p_partkey", (F.col("match_method") == "exact").alias("is_exact"))
 
 
 @query(

@@ -85,7 +85,21 @@ def topic_similarity(spark, d):
     return sims.select("t1", "t2", r6("similarity"))
 
 
-@query("topic_merges")
+@query(
+    "topic_merges",
+    f"""WITH RECURSIVE {TOPICAL}, u AS (SELECT topic_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY topic_id)) AS w FROM weights WHERE topic_id <> -1),
+    ids AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT topic_id AS t FROM tok WHERE topic_id <> -1)),
+    near AS (SELECT a.topic_id AS t1, b.topic_id AS t2, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.term = b.term AND a.topic_id < b.topic_id GROUP BY 1, 2),
+    m AS MATERIALIZED (SELECT x.i AS i, y.i AS j, coalesce(s, 0) AS s FROM ids x JOIN ids y ON x.t < y.t LEFT JOIN near ON t1 = x.t AND t2 = y.t),
+    state AS (
+      SELECT 0 AS step, list(t ORDER BY t) AS g FROM ids
+      UNION ALL
+      SELECT step + 1, list_transform(g, lambda x: CASE WHEN x = p[2] THEN p[1] ELSE x END) FROM (
+        SELECT step, g, (SELECT [least(g[i], g[j]), greatest(g[i], g[j])] FROM m WHERE g[i] <> g[j] GROUP BY 1
+          ORDER BY round(avg(s), 12) DESC, 1 LIMIT 1) AS p FROM state WHERE len(list_distinct(g)) > 10)),
+    last AS (SELECT g FROM state ORDER BY step DESC LIMIT 1)
+    SELECT doc_id, topic_id, coalesce(g[i], -1) AS coarse_topic FROM tok LEFT JOIN ids ON t = topic_id, last""",
+)
 def topic_merges(spark, d):
     docs = topical(spark, d)
     sims = T.topic_similarity(T.topic_weights(docs, "topic_id", "clean_tokens"), "topic_id")

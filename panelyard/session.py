@@ -40,6 +40,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again.
+
+    Unlike a checkpoint it also forgets what the planner inferred about the
+    columns, which grows from round to round in a loop.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many ways a large sort or group may be split."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

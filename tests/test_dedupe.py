@@ -53,7 +53,13 @@ def test_near_duplicates_equal_brute_force(spark, seed, monkeypatch):
     for record, rep in member.items():
         by_rep.setdefault(rep, []).append(record)
     got = {tuple(sorted((a, b))) for ms in by_rep.values() for a in ms for b in ms if a != b}
-    for r in U.near_duplicate_pairs(df, *args).collect():
+    report = U.near_duplicate_pairs(df, *args, source="county").collect()
+    assert [r["similarity_score"] for r in report] == sorted((r["similarity_score"] for r in report), reverse=True)
+    by_id = {r[0]: r for r in rows}
+    for r in report:
+        a, b = by_id[r["record_id_a"]], by_id[r["record_id_b"]]
+        assert (r["text_a"], r["text_b"], r["source_a"], r["source_b"]) == (a[2], b[2], a[1], b[1])
+        assert abs(S.token_sort(a[2], b[2]) - r["similarity_score"]) < 1e-9
         assert r["copies_a"] == len(by_rep[r["record_id_a"]]) and r["record_id_a"] < r["record_id_b"]
         got |= {tuple(sorted((a, b))) for a in by_rep[r["record_id_a"]] for b in by_rep[r["record_id_b"]]}
     assert got == brute(rows)

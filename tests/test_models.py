@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -183,3 +184,39 @@ def test_vectors(spark):
 
     got = T.model_vectors(spark.createDataFrame([("abc",), (None,)], "t string"), "t", make).collect()
     assert [list(r["vector"]) for r in got] == [[3.0, 1.0], [0.0, 1.0]]
+
+
+def sequential_merges(sims, ids, target):
+    """One pair at a time: the closest groups by average similarity, ties to the smallest ids."""
+    groups, history = {i: [i] for i in ids}, []
+    while len(groups) > max(1, target):
+        def mean(a, b):
+            return sum(sims.get((min(x, y), max(x, y)), 0.0) for x in groups[a] for y in groups[b]) / (len(groups[a]) * len(groups[b]))
+
+        _, a, b = min((-round(mean(a, b), 12), a, b) for a in groups for b in groups if a < b)
+        history.append((a, b, round(1 - mean(a, b), 9)))
+        groups[a] += groups.pop(b)
+    return {x: a for a, members in groups.items() for x in members}, history
+
+
+@pytest.mark.parametrize("n,target,share", [(25, 6, 0.5), (16, 1, 0.1), (9, 3, 0.0)])
+def test_rounds_of_mutual_merges_equal_one_by_one(spark, n, target, share):
+    rng = random.Random(n)
+    sims = {(i, j): round(rng.random(), 6) for i in range(n) for j in range(i + 1, n) if rng.random() < share}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in sims.items()], "t1 int, t2 int, similarity double")
+    topics = spark.createDataFrame([(i,) for i in [-1, *range(n)]], "topic int")
+    mapping, history = T.merge_topics(df, topics, "topic", target)
+    want, steps = sequential_merges(sims, range(n), target)
+    assert {r["topic"]: r["coarse_topic"] for r in mapping.collect()} == want
+    got = [(r["kept"], r["merged"], round(r["distance"], 9)) for r in history.orderBy("step").collect()]
+    assert got == steps
+
+
+def test_no_limit_on_topics_to_merge(spark):
+    # 3,000 topics in 1,000 triples, tied alike
+    pairs = [(3 * k + i, 3 * k + j, 0.5 + 0.4 * (i == 0 and j == 1)) for k in range(1000) for i, j in ((0, 1), (0, 2), (1, 2))]
+    df = spark.createDataFrame(pairs, "t1 int, t2 int, similarity double")
+    topics = spark.range(3000).selectExpr("cast(id as int) as topic")
+    mapping, history = T.merge_topics(df, topics, "topic", 1000)
+    assert {(r["topic"], r["coarse_topic"]) for r in mapping.collect()} == {(t, t // 3 * 3) for t in range(3000)}
+    assert history.count() == 2000
