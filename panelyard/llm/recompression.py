@@ -54,10 +54,10 @@ def rounds_for(window: int) -> int:
     """Levels after which windows still hold several names of their own.
 
     A level makes names a third longer on average and takes one and a half
-    names from each end of a window; up to half of the window may go.
+    names from each end of a window; up to a quarter of the window may go.
     """
     level, lost, size = 0, 0.0, 1.0
-    while lost + 3 * size <= 0.5 * window:
+    while lost + 3 * size <= 0.25 * window:
         level, lost, size = level + 1, lost + 3 * size, size * 4 / 3
     return max(1, level)
 
