@@ -364,8 +364,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     total = again.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     later = join_groups(windows, again, "key", "size", total).filter("doc_id > low")
     # bounded by the windows of one text
-    gone = later.groupBy("row").agg(F.collect_list("key").alias("gone"))
-    cut = written(_cut(touched.drop("ordinals").join(gone, "row"), window), "cut")
+    gone = written(later.groupBy("row").agg(F.collect_list("key").alias("gone")), "gone")
+    # few texts are cut, so their numbers pick them before texts are dealt
+    hit = written(gone.select("row"), "hit")
+    cut = written(_cut(touched.drop("ordinals").join(hit, "row", "left_semi").join(gone, "row"), window), "cut")
     every = folded.join(cut.select("row", "n_removed", "kept_sha256"), "row", "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     found = every.select(
