@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from panelyard.llm.common import whole_text, written
 
@@ -32,27 +33,36 @@ _NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
 _QUANTITY = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([a-zµ°%]+)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: A passage that more items than this hold, whose templates differ, is a common one: by itself it does not make a leak.
+FEW = 3
 NUM, UNIT, NAME, QUANTITY = (np.uint64(8 * k) for k in (1, 2, 3, 4))
-_CAPITAL, _ENDS = np.uint64(1), np.uint64(2)
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(1, 65)], dtype=np.uint64)
+_CAPITAL, _ENDS, _HASH = np.uint64(1), np.uint64(2), (1 << 64) - 8
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE, _MIX = pow(_BASE, -1, 1 << 64), np.uint64(0xD6E8FEB86659FD93)
 
 
 def core(chunk: str) -> str:
     """The chunk without signs around it, lower-cased."""
-    return _EDGE.sub("", chunk).lower()
+    bare = chunk.strip(_SIGNS)
+    return (bare if bare.isalnum() else _EDGE.sub("", chunk)).lower()
 
 
 class _Codes(dict):
     """Chunk -> code: 0 for no word, else kind or word hash with marks for a capital and a sentence end."""
 
     def __missing__(self, chunk: str) -> int:
-        import xxhash
-
-        bare = chunk.strip(_SIGNS)
-        word = bare.lower()
-        if bare.isalpha():  # most words; the other cases need patterns
-            code = int(UNIT) if word in UNITS else xxhash.xxh3_64_intdigest(word) & ~7 | 1 << 63 | (bare[0].isupper() and bare[1:].islower())
-            code |= int(_ENDS) * (chunk[-1] in ".!?:;" or chunk[-2:-1] in (".", "!", "?"))
+        letters = chunk.isalpha()
+        bare = chunk if letters else chunk.strip(_SIGNS)
+        if letters or bare.isalpha():  # most words; the other cases need patterns
+            word = bare.lower()
+            if word in UNITS:
+                code = int(UNIT)
+            else:
+                code = xxh3_64_intdigest(word) & _HASH | 1 << 63
+                if word != bare and bare[0].isupper() and bare[1:].islower():
+                    code |= 1
+            if not letters and (chunk[-1] in ".!?:;" or chunk[-2:-1] in (".", "!", "?")):
+                code |= 2
         else:
             code = self._other(chunk)
         if len(self) >= _KEPT:
@@ -62,8 +72,6 @@ class _Codes(dict):
         return code
 
     def _other(self, chunk: str) -> int:
-        import xxhash
-
         word = core(chunk)
         if not word:
             code = 0
@@ -75,7 +83,7 @@ class _Codes(dict):
             elif (q := _QUANTITY.fullmatch(word)) and (q[2] in UNITS or q[2] in "%°"):
                 code = int(QUANTITY)
             else:
-                code = xxhash.xxh3_64_intdigest(word) & ~7 | 1 << 63
+                code = xxh3_64_intdigest(word) & _HASH | 1 << 63
                 bare = _EDGE.sub("", chunk)
                 code |= int(bare[0].isupper() and bare[1:].islower())
             code |= int(_ENDS) * (chunk[-1] in ".!?:;" or chunk[-2:-1] in (".", "!", "?"))
@@ -105,24 +113,42 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
 
 def readings(words: np.ndarray, names: np.ndarray, heads: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, hashes): all windows with names as words, those that hold a name with names as slots, those that hold a sentence's capital with that as slot too."""
-    plain = window_hashes(words, width)
-    yield np.arange(len(plain)), plain
+    n = len(words) - width + 1
+    if n < 1:
+        return
+    yield np.arange(n), window_hashes(words, width)
     for asked, slots in ((names, names), (heads, names | heads)):
-        if len(plain) and asked.any():
+        if asked.any():
             total = np.concatenate([[0], np.cumsum(asked)])
             at = np.flatnonzero(total[width:] > total[:-width])
-            yield at, window_hashes(np.where(slots, NAME, words), width)[at]
+            yield at, window_hashes(np.where(slots, NAME, words), width, at)
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+_powers = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n`` of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(2 * n, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def window_hashes(words: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows, or of those at these places: a polynomial in an odd base modulo 2**64, so a window is a difference of two prefix sums."""
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, width, dtype=np.uint64)
-    for k in range(width):
-        out += words[k : k + n] * _ODD[k]
-        out ^= out >> np.uint64(29)
-    return out * _ODD[-1]
+    up, down = _powers_to(len(words))
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    out = (sums[width:] - sums[:-width]) * down[:n] if at is None else (sums[at + width] - sums[at]) * down[at]
+    out += np.uint64(width)
+    out ^= out >> np.uint64(29)
+    return out * _MIX
 
 
 def _cells(start: int, end: int, words: np.ndarray, capital: np.ndarray, chunks: list[str]) -> list[str]:
@@ -268,21 +294,24 @@ def stretches(met: list[tuple[int, list[str], list[str]]]) -> list[Stretch]:
 
 
 def _judged(row: int):
-    """Adds hits, and start and end in item places of rows long enough: ``row`` words, or all but one of a shorter item."""
+    """Adds hits, and start and end in item places of rows long enough: ``row`` words, or all but one of a shorter item, with a window that few items hold."""
 
     def judge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("equal", pa.bool_()), ("first", pa.int32()), ("last", pa.int32())]))
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("equal", pa.bool_()), ("rare", pa.bool_()), ("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             found = []
             for windows, width, met in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5))):
                 words, out = windows + width - 1, []
+                rare = {m["at"] for m in met if m["rare"]}
                 for part in stretches([(m["at"], m["item_cells"], m["doc_cells"]) for m in met]):
-                    long = [(x, y) for x, y, n in part.rows(width, words) if n >= min(row, max(width, words - 1))]
-                    for at, equal in part.hits():
+                    hits = part.hits()
+                    own = [at for at, _ in hits if at in rare]
+                    long = [(x, y) for x, y, n in part.rows(width, words) if n >= min(row, max(width, words - 1)) and any(x <= at < y for at in own)]
+                    for at, equal in hits:
                         first, last = next(((x, y) for x, y in long if x <= at < y), (None, None))
-                        out.append({"at": at, "equal": equal, "first": first, "last": last})
+                        out.append({"at": at, "equal": equal, "rare": at in rare, "first": first, "last": last})
                 found.append(out)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, kind)], names=["doc", "item", "diagonal", "windows", "width", "hits"])
 
@@ -291,7 +320,7 @@ def _judged(row: int):
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    row: int = ROW,
+    row: int = ROW, few: int = FEW,
 ) -> DataFrame:
     """One row per document and benchmark item it holds: hits, windows, start and end in words.
 
@@ -321,24 +350,31 @@ def leaks(
         return _empty(docs, id_col, item_col)
     found = written(_windows(rows, width, shared, widths), "found")
     d = found.select(F.col("id").alias("doc"), F.col("at").alias("doc_at"), "hash", "width", F.col("cells").alias("doc_cells"))
-    i = wanted.select(F.col("id").alias("item"), "at", "hash", "width", F.col("cells").alias("item_cells"), "windows")
+    i = wanted.select(F.col("id").alias("item"), "at", "hash", "width", F.col("cells").alias("item_cells"), "windows").join(_rare(wanted, few), ["hash", "width"])
     met = d.join(i, ["hash", "width"]).withColumn("diagonal", F.col("doc_at") - F.col("at"))
     # a diagonal meets each window of the item once in each reading, so its lists are no longer than the item
-    line = met.groupBy("doc", "item", "diagonal", "windows", "width").agg(F.collect_list(F.struct("at", "item_cells", "doc_cells")).alias("met"))
-    kinds = "doc long, item long, diagonal int, windows int, width int, hits array<struct<at:int,equal:boolean,first:int,last:int>>"
+    line = met.groupBy("doc", "item", "diagonal", "windows", "width").agg(F.collect_list(F.struct("at", "item_cells", "doc_cells", "rare")).alias("met"))
+    kinds = "doc long, item long, diagonal int, windows int, width int, hits array<struct<at:int,equal:boolean,rare:boolean,first:int,last:int>>"
     hits = written(line.mapInArrow(_judged(row), kinds), "hits").withColumn("h", F.explode("hits"))
     once = hits.groupBy("doc", "item", "windows", "width", F.col("h.at").alias("at")).agg(
         F.min(F.col("diagonal") + F.coalesce("h.first", "h.at")).alias("first"),
         F.max(F.col("diagonal") + F.coalesce(F.col("h.last"), F.col("h.at") + F.col("width"))).alias("last"),
-        F.max(F.col("h.equal")).alias("equal"), F.max(F.col("h.first").isNotNull()).alias("long"),
+        F.max(F.col("h.equal")).alias("equal"), F.max(F.col("h.rare")).alias("rare"), F.max(F.col("h.first").isNotNull()).alias("long"),
     )
     out = once.groupBy("doc", "item", "windows").agg(
-        F.count(F.lit(1)).alias("hits"), F.sum(F.col("equal").cast("long")).alias("equal_hits"), F.min("first").alias("start"), F.max("last").alias("end"), F.max("long").alias("long")
+        F.count(F.lit(1)).alias("hits"), F.sum(F.col("equal").cast("long")).alias("equal_hits"), F.min("first").alias("start"), F.max("last").alias("end"), F.max("long").alias("long"), F.max("rare").alias("rare")
     )
-    out = out.filter((F.col("hits") >= share * F.col("windows")) | F.col("long"))
+    whole = F.col("hits") >= F.col("windows")
+    out = out.filter((F.col("hits") >= share * F.col("windows")) & (F.col("rare") | whole) | F.col("long"))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "hits", "equal_hits", F.col("windows").cast("long").alias("windows"), "start", "end")
 
 
+def _rare(windows: DataFrame, few: int) -> DataFrame:
+    """(hash, width, rare) of the items' windows; items that hold the same windows count once."""
+    print_of = windows.groupBy("id").agg(F.xxhash64(F.sort_array(F.collect_set("hash"))).alias("print"))
+    return windows.join(print_of, "id").groupBy("hash", "width").agg((F.count_distinct("print") <= few).alias("rare"))
+
+
 def _empty(docs: DataFrame, id_col: str, item_col: str) -> DataFrame:
     return docs.sparkSession.createDataFrame([], f"{id_col} long, {item_col} long, hits long, equal_hits long, windows long, start int, end int")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm.decontam import drop_leaks, leaks
+from panelyard.llm.decontam import drop_leaks, leaks, window_hashes
 from panelyard.llm.htmltext import blocks, main_text, repeated
 from panelyard.llm.toxicity import drop_toxic, fit, passages, segments
 from panelyard.llm.urlfilter import judge_urls
@@ -269,3 +269,29 @@ def test_held_out_labels_change_nothing(spark, docs):
     turned = labels.withColumn("toxic", F.when(held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = fit(docs(rows), labels), fit(docs(rows), turned)
     assert np.array_equal(a.toxic, b.toxic) and a.calibration == b.calibration
+
+
+def test_rolling_window_hashes():
+    """Two windows have one hash exactly when their words are the same, wherever they stand and however it is asked."""
+    rng = np.random.default_rng(3)
+    kinds = np.concatenate([rng.integers(1, 2**60, 3).astype(np.uint64) << np.uint64(3), np.array([8, 16, 24, 32], dtype=np.uint64)])
+    words = kinds[rng.integers(0, len(kinds), 5000)]
+    for width in (1, 3, 8):
+        found = window_hashes(words, width)
+        seen = {}
+        for p in range(len(words) - width + 1):
+            assert seen.setdefault(tuple(words[p : p + width].tolist()), found[p]) == found[p]
+        assert len(set(found.tolist())) == len(seen)
+        some = rng.integers(0, len(found), 50)
+        assert (window_hashes(words, width, some) == found[some]).all()
+    assert len(window_hashes(words[:2], 3)) == 0
+
+
+def test_leaks_with_a_common_beginning(spark, docs):
+    """An instruction that many items begin with is no leak; an item with it is, and so are copies of one item under many ids."""
+    head = " ".join(f"choose{k}" for k in range(18))
+    items = [(k, head + " " + " ".join(f"own{k}x{j}" for j in range(7))) for k in range(20)]
+    items += [(100 + k, " ".join(f"copied{j}" for j in range(20)) + f" with {k} parts") for k in range(10)]
+    rows = [(1, "before " + head + " after that"), (2, items[5][1]), (3, items[-1][1]), (4, head + " " + " ".join(items[7][1].split()[18:22]))]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2, 5), (4, 7)} | {(3, 100 + k) for k in range(10)}
