@@ -333,7 +333,10 @@ def leaks(
     those that begin a sentence, are read both as slots and as words. A document
     holds an item when ``share`` of the item's windows are hit, or when ``row``
     template words in a row match, all but one of a shorter item, with single
-    changed words between them.
+    changed words between them. A window is common when more than ``few``
+    items of different templates hold it, like the instruction that many
+    questions begin with; both rules ask for a window that is not, unless all
+    windows of the item are hit.
 
     An item of fewer than ``width`` words is one window of all its words and,
     with fewer literal words than asked, must agree in its slots. Null, empty
@@ -350,7 +353,8 @@ def leaks(
         return _empty(docs, id_col, item_col)
     found = written(_windows(rows, width, shared, widths), "found")
     d = found.select(F.col("id").alias("doc"), F.col("at").alias("doc_at"), "hash", "width", F.col("cells").alias("doc_cells"))
-    i = wanted.select(F.col("id").alias("item"), "at", "hash", "width", F.col("cells").alias("item_cells"), "windows").join(_rare(wanted, few), ["hash", "width"])
+    marked = written(wanted.join(_rare(wanted, few), ["hash", "width"]), "marked")
+    i = marked.select(F.col("id").alias("item"), "at", "hash", "width", F.col("cells").alias("item_cells"), "windows", "rare")
     met = d.join(i, ["hash", "width"]).withColumn("diagonal", F.col("doc_at") - F.col("at"))
     # a diagonal meets each window of the item once in each reading, so its lists are no longer than the item
     line = met.groupBy("doc", "item", "diagonal", "windows", "width").agg(F.collect_list(F.struct("at", "item_cells", "doc_cells", "rare")).alias("met"))
