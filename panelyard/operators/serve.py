@@ -105,11 +105,16 @@ def available_filters(
     raw_date: str | None = None,
     horizons: Sequence[int] = tuple(fv.HORIZONS_MONTHS),
 ) -> DataFrame:
-    """Every filter option as a (filter, option) row: lists, year range, horizons, unreadable dates."""
-    rows = [
-        src.filter(F.col(c).isNotNull()).select(F.lit(name).alias("filter"), F.col(c).cast("string").alias("option")).distinct()
-        for name, (src, c) in lists.items()
-    ]
+    """Every filter option as a (filter, option) row: lists, year range, horizons, unreadable dates.
+
+    Each source is read once, whatever the number of its lists.
+    """
+    sources: dict[int, DataFrame] = {id(src): src for src, _ in lists.values()}
+    rows = []
+    for known, src in sources.items():
+        own = [F.col(c).cast("string").alias(name) for name, (of, c) in lists.items() if id(of) == known]
+        names = [name for name, (of, _) in lists.items() if id(of) == known]
+        rows.append(src.select(*own).unpivot([], names, "filter", "option").filter("option is not null").distinct())
     span = panel.agg(F.min(year).cast("string").alias("year_min"), F.max(year).cast("string").alias("year_max"))
     rows.append(span.unpivot([], ["year_min", "year_max"], "filter", "option"))
     if horizons:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelyard import fixed_values as fv
 from panelyard.functions.geo import in_utm_reach, with_coordinates, with_utm
 from panelyard.operators.graph import connected_components
-from panelyard.operators.hotkeys import spread_join
+from panelyard.operators.hotkeys import crowd_join, spread_join
 from panelyard.operators.ordering import numbered
 from panelyard.session import checkpointed
 
@@ -81,14 +81,15 @@ def locate_points(
 
     Points on a boundary are not inside; points in overlapping polygons give
     several rows; unmatched and unusable points stay with null attributes.
-    Points meet polygon parts through their grid cell. Equal coordinates are
-    located once, so a crowd at one spot costs one test.
+    Points meet polygon parts through their grid cell; the points of a crowded
+    cell are spread over several tasks. Equal coordinates are located once, so a
+    crowd at one spot costs one test.
     """
     checked = with_coordinates(df, lon, lat)
     spots = checked.filter("coord_status = 'ok'").select("lon_num", "lat_num").distinct()
     placed = spots.withColumns({"cx": F.floor(F.col("lon_num") / cell), "cy": F.floor(F.col("lat_num") / cell)})
     hits = (
-        placed.join(_cells(edge_table(rings), cell), ["cx", "cy"])
+        spread_join(placed, _cells(edge_table(rings), cell), ["cx", "cy"], "area_id")
         .filter(_strictly_inside(F.col("lon_num"), F.col("lat_num"), F.col("edges")))
         .select("lon_num", "lat_num", "area_id")
     )
@@ -106,16 +107,44 @@ def locate_points(
 def nearest(points: DataFrame, key: str, x: str, y: str, k: int = 4, rows_per_cell: int = 2_000) -> DataFrame:
     """The k nearest other points of every point: (key, neighbor, distance, rank); ties by neighbor.
 
-    Points look in the 3x3 cells around them. Whoever has k neighbours within
-    one cell width is done; the others look again in cells twice as wide. The
-    first cell width is halved until no cell is overcrowded (equal points set
-    the limit), so a dense spot does not meet itself in full.
+    Points of equal coordinates are one spot with its k + 1 smallest keys, which
+    are all that anyone can take from it, so a crowd never meets itself. Spots
+    look in the 3x3 cells around them. Whoever has k other spots within one cell
+    width is done; the others look again in cells twice as wide. The first cell
+    width is halved until no cell is overcrowded. Points without coordinates take
+    no part.
     """
-    base = checkpointed(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    facts = base.agg(F.count(F.lit(1)).alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    n, extent = facts["n"], max((facts[2] or 0) - (facts[1] or 0), (facts[4] or 0) - (facts[3] or 0))
+    base = checkpointed(
+        points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    )
+    spots = checkpointed(_spots(base, k + 1))
+    facts = spots.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spots"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    n, extent = facts["n"] or 0, max((facts[3] or 0) - (facts[2] or 0), (facts[5] or 0) - (facts[4] or 0))
     if n < k + 1:
         raise ValueError(f"only {n} points; need at least {k + 1} for {k} neighbours")
+    others = _nearest_spots(spots.select("id", "x", "y"), facts["spots"], extent, k, rows_per_cell)
+    seen = others.select("a", F.explode("best").alias("s")).select("a", F.col("s.b").alias("id"), F.col("s.d").alias("d"))
+    offers = seen.join(spots.select("id", "ids"), "id").unionByName(spots.select(F.col("id").alias("a"), "id", F.lit(0.0).alias("d"), "ids"))
+    best = _smallest(offers.select("a", "d", F.explode("ids").alias("b")).select("a", F.struct("d", "b").alias("s")), k + 1)
+    per_spot = spots.select(F.col("id").alias("a"), F.struct("x", "y").alias("spot"), "n").join(best, "a").drop("a")
+    met = crowd_join(base.select("id", F.struct("x", "y").alias("spot")), per_spot, "spot", "n", n)
+    own = F.slice(F.filter("best", lambda s: s["b"] != F.col("id")), 1, k)
+    return met.select(F.col("id").alias("_a"), own.alias("_own")).select(F.col("_a").alias(key), F.posexplode("_own").alias("at", "s")).select(
+        key, F.col("s.b").alias("neighbor"), F.col("s.d").alias("distance"), (F.col("at") + 1).alias("rank")
+    )
+
+
+def _spots(base: DataFrame, keep: int) -> DataFrame:
+    """(id, x, y, n, ids) per place: the smallest id, the number of points and the ``keep`` smallest ids."""
+    sizes = base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("x", "y").orderBy("id")
+    few = base.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
+    ids = few.groupBy("x", "y").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return ids.join(sizes, ["x", "y"]).select("id", "x", "y", "n", "ids")
+
+
+def _nearest_spots(base: DataFrame, n: int, extent: float, k: int, rows_per_cell: int) -> DataFrame:
+    """(a, best) with the k nearest other places, as structs (d, b); fewer where there are fewer."""
     width = max(extent, 1e-9) / max(math.sqrt(n / (k + 1)), 1.0)
 
     def celled(df: DataFrame, w: float) -> DataFrame:
@@ -148,9 +177,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int = 4, rows_per_ce
         if open_points.isEmpty():
             break
         width *= 2
-    return done.select(F.col("a").alias(key), F.posexplode("best").alias("at", "s")).select(
-        key, F.col("s.b").alias("neighbor"), F.col("s.d").alias("distance"), (F.col("at") + 1).alias("rank")
-    )
+    return done
 
 
 def _smallest(near: DataFrame, k: int) -> DataFrame:

@@ -113,7 +113,7 @@ def top_page(spark, d):
       CAST(count(*) FILTER ("Date_Start" IS NOT NULL AND try_strptime("Date_Start", '%m/%d/%Y') IS NULL) AS VARCHAR) FROM raw""",
 )
 def available_filters(spark, d):
-    raw = raw_incidents(spark, d)
+    raw = raw_incidents(spark, d).withColumn("known_topic", F.when(F.col("topic_id") != -1, F.col("topic_id")))
     years = table(spark, d, "orders").select(F.year("o_orderdate").alias("Year"))
     return S.available_filters(
         years,
@@ -121,7 +121,7 @@ def available_filters(spark, d):
         {
             "county": (raw, "geo_county"),
             "subcounty": (raw, "geo_subcounty"),
-            "topic": (raw.filter("topic_id <> -1"), "topic_id"),
+            "topic": (raw, "known_topic"),
             "domain": (raw, "conflict_domain"),
         },
         raw_date="Date_Start",

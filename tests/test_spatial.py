@@ -155,3 +155,47 @@ def test_draws_are_distinct(spark):
     assert all(len(set(r["d"])) == 4 and set(r["d"]) <= set(range(5)) for r in drawn)
     counts = np.bincount([v for r in drawn for v in r["d"]], minlength=5)
     assert counts.min() > 130
+
+
+@pytest.mark.parametrize("crowd", [3, 60])
+def test_nearest_folds_equal_points(spark, crowd, monkeypatch):
+    """Crowds at a few spots, ties between spots, keys out of order and points without coordinates."""
+    rng = random.Random(crowd)
+    pts = [(i, *rng.choice([(0.0, 0.0), (-0.0, 1.0), (1.0, 0.0), (5.0, 5.0)])) for i in range(crowd)] + [(200 + i, float(rng.randint(-2, 2)), float(rng.randint(-2, 2))) for i in range(12)]
+    rng.shuffle(pts)
+    df = spark.createDataFrame([*pts, (900, None, 1.0), (901, 1.0, None)], "id int, x double, y double")
+    small = lambda left, right, keys, row_id: hotkeys.spread_join(left, right, keys, row_id, rows_per_task=2)
+    monkeypatch.setattr(S, "spread_join", small)
+    got = {}
+    for r in S.nearest(df, "id", "x", "y", 3, rows_per_cell=5).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor"], round(r["distance"], 9)))
+    want = {}
+    for i, x, y in pts:
+        near = sorted((math.dist((x, y), (a, b)), j) for j, a, b in pts if j != i)[:3]
+        want[i] = [(k + 1, j, round(d, 9)) for k, (d, j) in enumerate(near)]
+    assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_nearest_at_one_spot(spark):
+    df = spark.range(6).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    got = sorted((r["id"], r["rank"], r["neighbor"], r["distance"]) for r in S.nearest(df, "id", "x", "y", 2).collect())
+    assert got == [(i, k + 1, j, 0.0) for i in range(6) for k, j in enumerate([j for j in range(6) if j != i][:2])]
+    with pytest.raises(ValueError):
+        S.nearest(df.limit(2), "id", "x", "y", 2)
+
+
+def test_crowded_cells_are_spread(spark, monkeypatch):
+    """Points of one cell in many tasks find the polygons they find in one."""
+    shapes = rings(spark, [("a", 0, [(0, 0), (4, 0), (4, 4), (0, 4)]), ("b", 0, [(3, 3), (8, 3), (3, 8)])])
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 20 * 0.37 + 0.05).alias("lon"), (F.floor(F.col("id") / 20) * 0.41 + 0.05).alias("lat"))
+    plain = {tuple(r) for r in S.locate_points(df, shapes, "lon", "lat", cell=5.0).collect()}
+    seen = []
+
+    def small(left, right, keys, row_id):
+        out = hotkeys.spread_join(left, right, keys, row_id, rows_per_task=10)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(S, "spread_join", small)
+    spread = [tuple(r) for r in S.locate_points(df, shapes, "lon", "lat", cell=5.0).collect()]
+    assert seen and len(spread) == len(set(spread)) and set(spread) == plain
