@@ -88,8 +88,9 @@ def locate_points(
     checked = with_coordinates(df, lon, lat)
     spots = checked.filter("coord_status = 'ok'").select("lon_num", "lat_num").distinct()
     placed = spots.withColumns({"cx": F.floor(F.col("lon_num") / cell), "cy": F.floor(F.col("lat_num") / cell)})
+    cells = checkpointed(_cells(edge_table(rings), cell))  # read for its counts and for the join
     hits = (
-        spread_join(placed, _cells(edge_table(rings), cell), ["cx", "cy"], "area_id")
+        spread_join(placed, cells, ["cx", "cy"], "area_id")
         .filter(_strictly_inside(F.col("lon_num"), F.col("lat_num"), F.col("edges")))
         .select("lon_num", "lat_num", "area_id")
     )
@@ -114,33 +115,33 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int = 4, rows_per_ce
     width is halved until no cell is overcrowded. Points without coordinates take
     no part.
     """
-    base = checkpointed(
-        points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
-    )
-    spots = checkpointed(_spots(base, k + 1))
+    base = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    spots = checkpointed(base.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     facts = spots.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spots"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     n, extent = facts["n"] or 0, max((facts[3] or 0) - (facts[2] or 0), (facts[5] or 0) - (facts[4] or 0))
     if n < k + 1:
         raise ValueError(f"only {n} points; need at least {k + 1} for {k} neighbours")
     others = _nearest_spots(spots.select("id", "x", "y"), facts["spots"], extent, k, rows_per_cell)
-    seen = others.select("a", F.explode("best").alias("s")).select("a", F.col("s.b").alias("id"), F.col("s.d").alias("d"))
-    offers = seen.join(spots.select("id", "ids"), "id").unionByName(spots.select(F.col("id").alias("a"), "id", F.lit(0.0).alias("d"), "ids"))
-    best = _smallest(offers.select("a", "d", F.explode("ids").alias("b")).select("a", F.struct("d", "b").alias("s")), k + 1)
-    per_spot = spots.select(F.col("id").alias("a"), F.struct("x", "y").alias("spot"), "n").join(best, "a").drop("a")
-    met = crowd_join(base.select("id", F.struct("x", "y").alias("spot")), per_spot, "spot", "n", n)
-    own = F.slice(F.filter("best", lambda s: s["b"] != F.col("id")), 1, k)
-    return met.select(F.col("id").alias("_a"), own.alias("_own")).select(F.col("_a").alias(key), F.posexplode("_own").alias("at", "s")).select(
+    if n == facts["spots"]:  # every point is its own spot
+        own = others.select(F.col("a").alias("_a"), F.col("best").alias("_own"))
+    else:
+        own = _own_neighbours(base, spots, others, n, k)
+    return own.select(F.col("_a").alias(key), F.posexplode("_own").alias("at", "s")).select(
         key, F.col("s.b").alias("neighbor"), F.col("s.d").alias("distance"), (F.col("at") + 1).alias("rank")
     )
 
 
-def _spots(base: DataFrame, keep: int) -> DataFrame:
-    """(id, x, y, n, ids) per place: the smallest id, the number of points and the ``keep`` smallest ids."""
-    sizes = base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+def _own_neighbours(base: DataFrame, spots: DataFrame, others: DataFrame, n: int, k: int) -> DataFrame:
+    """(_a, _own) per point: its k nearest points among those of its spot and of the spots nearest to it."""
     first = Window.partitionBy("x", "y").orderBy("id")
-    few = base.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
-    ids = few.groupBy("x", "y").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return ids.join(sizes, ["x", "y"]).select("id", "x", "y", "n", "ids")
+    few = base.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
+    ids = few.groupBy("x", "y").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")).select("id", "ids")
+    seen = others.select("a", F.explode("best").alias("s")).select("a", F.col("s.b").alias("id"), F.col("s.d").alias("d"))
+    offers = seen.unionByName(spots.select(F.col("id").alias("a"), "id", F.lit(0.0).alias("d"))).join(ids, "id")
+    best = _smallest(offers.select("a", "d", F.explode("ids").alias("b")).select("a", F.struct("d", "b").alias("s")), k + 1)
+    per_spot = spots.select(F.col("id").alias("a"), F.struct("x", "y").alias("spot"), "n").join(best, "a").drop("a")
+    met = crowd_join(base.select("id", F.struct("x", "y").alias("spot")), per_spot, "spot", "n", n)
+    return met.select(F.col("id").alias("_a"), F.slice(F.filter("best", lambda s: s["b"] != F.col("id")), 1, k).alias("_own"))
 
 
 def _nearest_spots(base: DataFrame, n: int, extent: float, k: int, rows_per_cell: int) -> DataFrame:
