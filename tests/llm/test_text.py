@@ -1,5 +1,6 @@
 """Main text, URL verdicts, decontamination, toxicity and the pipeline."""
 
+import math
 import random
 import re
 
@@ -8,29 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelyard.llm.decontam import drop_leaks, leaks, window_hashes
-from panelyard.llm.htmltext import blocks, main_text, repeated
+from panelyard.llm.htmltext import blocks, core, main_text, word_codes
 from panelyard.llm.toxicity import drop_toxic, fit, passages, segments
 from panelyard.llm.urlfilter import judge_urls
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_repeated_runs_equal_brute_force(seed):
-    rng = random.Random(seed)
-    pages = [[rng.randint(0, 3) for _ in range(rng.randint(0, 25))] for _ in range(rng.randint(1, 6))]
-    run = rng.choice([1, 2, 3, 5, 8])
-    want = []
-    for p, tokens in enumerate(pages):
-        hit = [False] * len(tokens)
-        for k in range(len(tokens) - run + 1):
-            part = tokens[k : k + run]
-            if any(q != p and any(other[j : j + run] == part for j in range(len(other) - run + 1)) for q, other in enumerate(pages)):
-                hit[k : k + run] = [True] * run
-        want += hit
-    flat = np.array([t for p in pages for t in p], dtype=np.int64)
-    page = np.array([p for p, tokens in enumerate(pages) for _ in tokens], dtype=np.int64)
-    assert repeated(flat, page, run).tolist() == want
-
-
 def kept(html):
     return [line for line, standing in blocks(html) if standing > 0]
 
@@ -54,40 +37,69 @@ def test_blocks(html, want):
     assert kept(html) == want
 
 
+def brute_main(pages, run, least, share):
+    """(head, tail) of each page, a list of words, by the definition."""
+    cores = [core(word_codes([p]), run) if p else 0 for p in pages]
+    every = {c for c, p in zip(cores, pages) if len(p) >= run}
+    need = max(least, math.ceil(share * len(every)))
+
+    def longest(p, turned):
+        for w in range(len(p), run - 1, -1):
+            if len({c for c, q in zip(cores, turned) if q[:w] == p[:w] and len(q) >= run}) >= need:
+                return w
+        return 0
+
+    backwards = [p[::-1] for p in pages]
+    out = [(longest(p, pages), longest(p[::-1], backwards)) for p in pages]
+    return [(0, 0) if 2 * (h + t) > len(p) else (h, t) for p, (h, t) in zip(pages, out)]
+
+
+def test_main_text_equals_brute_force(spark):
+    rng = random.Random(9)
+    heads, tails = ([[f"{n}{k}w{j}" for j in range(23)] for k in range(3)] for n in ("head", "tail"))
+    sites = []
+    for _ in range(3):
+        pages = []
+        for _ in range(40):
+            own = [f"o{rng.randint(0, 60)}" for _ in range(rng.randint(0, 70))]
+            head, tail = (rng.choice(x)[: rng.choice([0, 5, 8, 9, 15, 16, 17, 23])] for x in (heads, tails))
+            pages.append(head + own + tail)
+        sites.append(pages + pages[:2] + [pages[5] + ["end"]])
+    rows = [(100 * s + k, f"http://s{s}.org/{k}", f"<p>{' '.join(p)}</p>") for s, pages in enumerate(sites) for k, p in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), least_pages=4, share=0.1).collect()}
+    cut = 0
+    for s, pages in enumerate(sites):
+        for k, (p, (h, t)) in enumerate(zip(pages, brute_main(pages, 8, 4, 0.1))):
+            assert got[100 * s + k] == " ".join(p[h : len(p) - t])
+            cut += h + t
+    assert cut > 500 and len(got) == len(rows)
+
+
 def test_main_text(spark):
-    tail = "read more of our many stories on this and other sites today"
-    rows = [(k, f"http://host.org/{k}", f"<div>start of our site with links to all of its parts {k}</div><div>{tail}</div><div>own words of page number {k} " + " ".join(f"u{k}x{j}" for j in range(30)) + "</div>") for k in range(6)]
+    head, tail = "start of our site with links to all of its parts", "read more of our many stories on this and other sites today"
+    own = {k: f"{k}\n\nown words of page number {k} " + " ".join(f"u{k}x{j}" for j in range(40)) for k in range(12)}
+    rows = [(k, f"http://host.org/{k}", f"<div>{head} {k}</div><div>{own[k].split(chr(10))[2]}</div><div>{tail}</div>") for k in range(12)]
     rows += [(50, "http://A.org/x", "<nav>m</nav><article><h1>T</h1><p>one  two</p></article>"), (51, None, None), (52, "no scheme", ""), (50, "http://A.org/x", "<p>again</p>"), (None, "http://b.org", "<p>" + "long " * 50_000 + "</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "'x' as part", "'x' as id", "'x' as text")
-    got = {(r["page_id"], r["url"], r["text"]) for r in main_text(pages).collect()}
-    own = {(k, f"http://host.org/{k}", f"own words of page number {k} " + " ".join(f"u{k}x{j}" for j in range(30))) for k in range(6)}
-    assert got == own | {(50, "http://A.org/x", "T\n\none two"), (51, None, ""), (52, "no scheme", ""), (50, "http://A.org/x", "again"), (None, "http://b.org", ("long " * 50_000).strip())}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "'x' as key", "'x' as id", "'x' as text")
+    got = sorted(((r["page_id"], r["url"], r["text"]) for r in main_text(pages).collect()), key=repr)
+    rest = [(50, "http://A.org/x", "T\n\none two"), (51, None, ""), (52, "no scheme", ""), (50, "http://A.org/x", "again"), (None, "http://b.org", ("long " * 50_000).strip())]
+    assert got == sorted([(k, f"http://host.org/{k}", text) for k, text in own.items()] + rest, key=repr)
     assert main_text(pages.limit(0)).collect() == []
-    # a host in many parts still gives every page once
-    assert main_text(pages, part_chars=300).count() == len(rows)
-
-
-def test_main_text_does_not_depend_on_parts(spark):
-    """A run that few pages of a host share is found wherever its pages are dealt to."""
-    rng = random.Random(5)
-    tails = [" ".join(f"tail{t}w{j}" for j in range(12)) for t in range(10)]
-    rows = [(k, f"http://host.org/{k}", f"<div>{' '.join(f'own{k}x{j}' for j in range(rng.randint(9, 40)))}</div><div>{tails[k % 10]}</div>") for k in range(20)]
-    pages = spark.createDataFrame(rows + [(99, "http://host.org/copy", rows[3][2])], "page_id long, url string, html string")
-    one, many = ({(r["page_id"], r["text"]) for r in main_text(pages, part_chars=n).collect()} for n in (10**9, 200))
-    assert one == many and len(many) == 21
-    assert not any("tail" in text for _, text in many) and all("own" in text for _, text in many)
 
 
-@pytest.mark.parametrize("part_chars", [10**9, 300])
-def test_main_text_of_copies_and_of_runs_in_articles(spark, part_chars):
+def test_main_text_keeps_quotes_copies_and_pages_of_boilerplate(spark):
+    quote = " ".join(f"quote{j}" for j in range(40))
     line = "this work may be copied by all who name its first author"
-    own = [" ".join(f"own{k}x{j}" for j in range(30)) for k in range(4)]
-    copied, near = (" ".join(f"{name}{j}" for j in range(40)) for name in ("copied", "near"))
-    rows = [(k, f"<nav>menu {k}</nav><article><p>{own[k]}</p><p>{line}</p></article>", own[k]) for k in range(4)]
-    rows += [(10 + k, f"<nav>menu {k}</nav><div>{copied}</div>", copied) for k in range(3)]
-    rows += [(20 + k, f"<article><p>{near} end{k}</p></article>", f"{near} end{k}") for k in range(2)]
+    own = [" ".join(f"own{k}x{j}" for j in range(30)) for k in range(40)]
+    rows = [(k, f"<article><p>{own[k]}</p><p>{line} half{k}</p></article>", f"{own[k]}\n\n{line} half{k}") for k in range(4)]
+    # a quotation inside twelve articles, and one that ends two of them
+    rows += [(10 + k, f"<article><p>{own[10 + k]}</p><p>{quote}</p><p>{own[39 - k]}</p></article>", f"{own[10 + k]}\n\n{quote}\n\n{own[39 - k]}") for k in range(12)]
+    rows += [(30 + k, f"<article><p>{own[30 + k]}</p><p>{quote}</p></article>", f"{own[30 + k]}\n\n{quote}") for k in range(2)]
+    # copies and near copies of one page
+    rows += [(40 + k, f"<nav>menu {k}</nav><div>{quote} {own[9]}</div>", f"{quote} {own[9]}") for k in range(15)]
+    rows += [(60 + k, f"<article><p>near {own[8]} end{k}</p></article>", f"near {own[8]} end{k}") for k in range(15)]
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h, _ in rows], "page_id long, url string, html string")
-    assert {(r["page_id"], r["text"]) for r in main_text(pages, part_chars=part_chars).collect()} == {(i, text) for i, _, text in rows}
+    assert {(r["page_id"], r["text"]) for r in main_text(pages, share=0.05).collect()} == {(i, text) for i, _, text in rows}
 
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
