@@ -12,6 +12,8 @@ from panelyard.llm.common import join_groups, whole_text, written
 
 #: Digests a bucket of the index holds on average.
 PER_BUCKET = 50_000
+#: Digests that a task holds before it passes them on.
+GATHERED = 100_000
 _SLOTS, _KICKS = 4, 200
 #: Stands for a group without any id, below all ids.
 _NO_ID = -(2**63)
@@ -133,18 +135,46 @@ def buckets_for(rows: int) -> int:
     return max(256, 1 << (rows // PER_BUCKET).bit_length())
 
 
+def partial(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, digest, keep_id, group_size): the copies that lie close together in one task, as one row.
+
+    A task passes its digests on when it holds ``GATHERED``, so a group of any
+    size is a few rows per task; equal digests of other tasks meet in the index.
+    """
+
+    def gathered(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def passed(held: dict) -> pa.RecordBatch:
+            ids, sizes = ([v[k] for v in held.values()] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["digest", "keep_id", "group_size"])
+
+        held: dict[bytes, list[int]] = {}
+        for batch in batches:
+            for doc_id, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                group = held.setdefault(digest, [_NO_ID, 0])
+                group[0] = max(group[0], _NO_ID if doc_id is None else doc_id)
+                group[1] += 1
+            if len(held) >= GATHERED:
+                yield passed(held)
+                held = {}
+        if held:
+            yield passed(held)
+
+    found = rows.select("doc_id", "digest").mapInArrow(gathered, "digest binary, keep_id long, group_size long")
+    return found.select(_bucket(buckets), "digest", "keep_id", "group_size")
+
+
 def insert_digests(rows: DataFrame, buckets: int, content: DataFrame | None = None) -> DataFrame:
     """The content of the index after inserting ``rows`` (doc_id, digest).
 
-    Copies meet on the map side first: a group of any size is one row per task.
-    Each bucket then inserts its digests into its cuckoo filter; hits are
-    verified against the bucket's content, overflow rebuilds a larger filter
-    from the stored digests. ``content`` is an earlier result with as many
-    ``buckets``. ``keep_id`` is the largest id, ``group_size`` the rows.
+    Tasks send their digests to the buckets of the index. Each bucket inserts
+    them into its cuckoo filter: a miss is a new digest; a hit is verified
+    against the bucket's content and joins the group there; overflow rebuilds a
+    larger filter from the stored digests. ``content`` is an earlier result with
+    as many ``buckets``. ``keep_id`` is the largest id, ``group_size`` the rows.
     """
-    new = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    new = new.select(_bucket(buckets), "digest", "keep_id", "group_size")
-    return _changed(new, content, lambda index, d, i, n: index.insert(d, i, n))
+    return _changed(partial(rows, buckets), content, lambda index, d, i, n: index.insert(d, i, n))
 
 
 def delete_digests(rows: DataFrame, buckets: int, content: DataFrame) -> DataFrame:
@@ -153,16 +183,13 @@ def delete_digests(rows: DataFrame, buckets: int, content: DataFrame) -> DataFra
     ``group_size`` falls by the rows taken; a digest without rows leaves filter
     and content. ``keep_id`` stays the largest id ever inserted for a live digest.
     """
-    gone = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    gone = gone.select(_bucket(buckets), "digest", "keep_id", "group_size")
-    return _changed(gone, content, lambda index, d, i, n: index.delete(d, n))
+    return _changed(partial(rows, buckets), content, lambda index, d, i, n: index.delete(d, n))
 
 
 def _changed(rows: DataFrame, content: DataFrame | None, change) -> DataFrame:
     import pandas as pd
 
     # a null would turn the ids of its bucket into floats
-    rows = rows.withColumn("keep_id", F.coalesce("keep_id", F.lit(_NO_ID)))
     content = content.withColumn("keep_id", F.coalesce("keep_id", F.lit(_NO_ID))) if content is not None else None
 
     def run(index: LiveIndex, frame: pd.DataFrame, bucket: int) -> pd.DataFrame:
