@@ -86,8 +86,6 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     """(doc_id, n_shingles, digest, keys) of every row; digest and keys are null without words."""
 
     def signed(batches: Iterator) -> Iterator:
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
@@ -95,7 +93,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             for text in batch.column(1):
                 found = shingles(text.as_buffer().to_pybytes(), width)
                 n.append(len(found))
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                digest.append(_digest(found) if len(found) else None)
                 keys.append(band_keys(signature(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -106,18 +104,27 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(signed, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
+def _digest(found: np.ndarray) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): the full sets of the documents in ``nodes``."""
+    """(node, shingles): the full sets of ``nodes`` (node, least, digest), from the rows with that id and digest."""
 
     def built(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out = [shingles(t.as_buffer().to_pybytes(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).cast("binary").alias("text"))
-    found = rows.join(nodes.select("node"), "node", "left_semi").mapInArrow(built, "node long, shingles binary")
+            found = [shingles(t.as_buffer().to_pybytes(), width) for t in batch.column(1)]
+            own = pa.array([_digest(f) == d for f, d in zip(found, batch.column(2).to_pylist())], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "shingles"])
+            yield out.filter(own)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("least"), whole_text(text_col).cast("binary").alias("text"))
+    # an id with several texts meets each of its nodes; the digest tells which text is whose
+    found = rows.join(nodes, "least").select("node", "text", "digest").mapInArrow(built, "node long, shingles binary")
     return found.dropDuplicates(["node"])
 
 
@@ -222,9 +229,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """
     signed = written(signatures(docs, width, id_col, text_col), "signed")
     n_rows = signed.count()
-    folded = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    folded = written(folded, "folded")
-    nodes = signed.select(F.col("doc_id").alias("node"), "n_shingles", "digest", "keys").join(folded.select("node", "digest"), ["node", "digest"], "left_semi")
+    folded = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a set is a node by its own number: an id may have several texts
+    folded = written(folded.withColumn("node", F.monotonically_increasing_id()), "folded")
+    first = folded.select("node", "digest", F.col("least").alias("doc_id"))
+    nodes = signed.join(first, ["doc_id", "digest"]).select("node", "n_shingles", "keys")
     nodes = nodes.dropDuplicates(["node"])
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -234,15 +243,18 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     hubs = written(best.select("bucket", (-F.col("h.last")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     star = members.join(hubs, "bucket").filter((F.col("node") != F.col("hub")) & _alike("n", "hub_n", percent))
     pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    sets = written(_sets(docs, weight, width, id_col, text_col), "sets")
+    wanted = folded.select("node", "least", "digest").join(weight.select("node"), "node", "left_semi")
+    sets = written(_sets(docs, wanted, width, id_col, text_col), "sets")
     links = written(_confirmed(pairs, sets, percent), "links")
     comps = written(connected_components(weight, links, "node"), "comps")
     keys = nodes.select("node", "keys").join(weight.select("node"), "node", "left_semi")
     late = written(_stragglers(members, hubs, comps, sets, keys, percent), "late")
     if late.count():
         comps = connected_components(weight, links.unionByName(late), "node")
-    known = folded.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("_component"), "copies")
-    known = written(known, "known")
+    known = written(folded.join(comps, "node", "left").select("digest", "copies", "least", F.coalesce("component", "node").alias("comp")), "known")
+    least = known.groupBy("comp").agg(F.min("least").alias("_component"), F.count(F.lit(1)).alias("variants"))
+    known = join_groups(known.drop("least"), least, "comp", "variants", n_rows).select("digest", "_component", "copies")
+    known = written(known, "named")
     light = signed.select("doc_id", "n_shingles", "digest")
     alone = light.filter("digest is null").withColumn("_component", F.lit(None).cast("long"))
     every = join_groups(light.filter("digest is not null"), known, "digest", "copies", n_rows).drop("copies").unionByName(alone)

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.llm.exactdedup import CuckooFilter, LiveIndex, delete_digests, digests, drop_copies, exact_groups, insert_digests
+from panelyard.llm.exactdedup import CuckooFilter, LiveIndex, delete_digests, digests, drop_copies, exact_groups, insert_digests, partial
 from panelyard.llm.minhash import drop_near_copies, near_groups
 from panelyard.llm.sharding import shard_documents
 
@@ -70,6 +70,25 @@ def test_exact_groups_with_a_hot_text(docs):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_copies_meet_in_the_index_only(docs, monkeypatch):
+    """Equal digests reach a bucket as several rows; a filter that never hits would split their group."""
+    rows = docs([(i, "copied" if i % 2 else f"own {i}") for i in range(400)]).repartition(8)
+    sent = partial(digests(rows), 4)
+    assert sent.count() > 201 and sent.agg(F.sum("group_size")).first()[0] == 400
+    held = insert_digests(digests(rows), 4).filter("group_size > 1").collect()
+    assert [(r["keep_id"], r["group_size"]) for r in held] == [(399, 200)]
+    key = hashlib.sha256(b"copied").digest()
+    index = LiveIndex()
+    for i in range(3):
+        index.insert(key, i, 10)
+    assert index.content == {key: [2, 30]}
+    monkeypatch.setattr(CuckooFilter, "__contains__", lambda self, digest: False)
+    blind = LiveIndex()
+    for i in range(3):
+        blind.insert(key, i, 10)
+    assert blind.content != index.content
+
+
 def test_index_over_batches(docs):
     first, second = digests(docs([(1, "a"), (2, "b"), (3, "A")])), digests(docs([(9, "a"), (4, "c")]))
     held = insert_digests(second, 4, insert_digests(first, 4))
@@ -135,6 +154,16 @@ def test_near_groups_of_nothing_and_repeats(docs):
     assert sorted(map(tuple, got.select("doc_id", "component_id", "kept").collect()), key=repr) == sorted([(2, 1, False), (1, 1, True), (1, 1, True), (None, None, True)], key=repr)
 
 
+def test_near_groups_of_an_id_with_several_texts(docs):
+    """Texts of one id link by themselves, in whatever order the rows come."""
+    base = [f"w{k}" for k in range(80)]
+    near, other = " ".join([*base[:-1], "end"]), " ".join(f"o{k}" for k in range(80))
+    rows = [(1, other), (1, " ".join(base)), (2, near), (3, other + " more"), (4, near + " x")]
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False)]
+    for order in (rows, [rows[1], rows[0], *rows[2:]], rows[::-1]):
+        assert sorted(tuple(r) for r in near_groups(docs(order)).select("doc_id", "component_id", "kept").collect()) == want
+
+
 def test_drop_near_copies(docs):
     rows = docs([(2, "a b c d e f"), (1, "A b c d e f"), (5, "something else that stays here"), (6, None), (7, "")], True)
     got = drop_near_copies(rows)
