@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -76,42 +77,64 @@ def lexical(urls: DataFrame) -> DataFrame:
     return urls.withColumns({k: v.cast("double") for k, v in found.items()} | {"suffix": suffix})
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Every row with host, path, rule, verdict and, for rows without a rule, the trees' chance of ``block``.
-
-    Rules are a short list; the URLs they cover are the labelled ones. The
-    share of blocked URLs per suffix is counted over all of them, the trees
-    are fitted on ``max_labelled`` at most. A suffix without labelled URLs has
-    the overall share. When all labels agree their verdict is given, without
-    any label ``allow``. Null URLs have an empty host and path and no rule.
-    Every row gives one row; other columns are ignored.
-    """
+def labelled_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Every row with its parts, lexical features, ``rule`` and ``ruled``, the rule's verdict."""
     host, path, rest = url_parts(F.col("url"))
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path, "rest": rest})
     rule, verdict = matched_rule(rules, F.col("host"), F.col("path"))
-    rows = lexical(parts.withColumns({"rule": rule, "ruled": verdict}))
-    rows = written(rows, "urls")
-    label = (F.col("ruled") == "block").cast("double")
-    labelled = rows.filter("rule is not null").withColumn("label", label)
-    # one row: how many labels there are of each kind
-    n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    out = [F.col("page_id").alias(id_col), "host", "path", "rule"]
-    if not n or blocked in (0, n):
-        only = "block" if n and blocked else "allow"
-        return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.when(F.col("rule").isNull(), F.lit(float(only == "block"))).alias("chance"))
+    return lexical(parts.withColumns({"rule": rule, "ruled": verdict}))
+
+
+def fit_trees(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Callable[[DataFrame], DataFrame]:
+    """Trees fitted on labelled URLs of both kinds, as a function that adds ``chance`` to rows with features.
+
+    A suffix whose labels are all of one kind would teach the trees its name
+    only, so they are fitted on suffixes with both kinds, and on all where there
+    is none. The blocked share per suffix is counted on a third of the hosts and
+    the trees are fitted on the others; suffixes without such a count, or with one kind
+    of label, have the overall share.
+    """
+    labelled = written(labelled.withColumn("counted", F.pmod(F.xxhash64("host"), F.lit(3)) == 0), "labelled")
+    kinds = labelled.filter("not counted").groupBy("suffix").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    both = written(kinds.filter("low < high").select("suffix"), "both")
+    rows = labelled.join(both, "suffix", "left_semi")
+    one_kind = both.isEmpty()
+    if one_kind:
+        rows = labelled
+    n, blocked = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     overall = blocked / n
-    shares = labelled.groupBy("suffix").agg(((F.sum("label") + PRIOR * overall) / (F.count(F.lit(1)) + PRIOR)).alias("suffix_share"))
-    shares = written(shares, "suffixes")
+    counted = rows.filter("counted").groupBy("suffix").agg(((F.sum("label") + PRIOR * overall) / (F.count(F.lit(1)) + PRIOR)).alias("suffix_share"))
+    shares = written(counted.filter(F.lit(not one_kind)), "suffixes")
 
     def vectors(df: DataFrame) -> DataFrame:
         full = df.join(shares, "suffix", "left").withColumn("suffix_share", F.coalesce("suffix_share", F.lit(overall)))
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
 
-    sample = labelled.orderBy(F.xxhash64("url"), "page_id").limit(max_labelled)
+    fitted = rows if one_kind else rows.filter("not counted")
+    sample = fitted.orderBy(F.xxhash64("url"), "page_id").limit(max_labelled)
     sample = written(vectors(sample).select("features", "label"), "sample")
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(sample)
-    asked = trees.transform(vectors(rows.filter("rule is null")))
-    chance = F.element_at(vector_to_array(F.col("probability")), 2)
-    judged = asked.select(*out, F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("verdict"), chance.alias("chance"))
+    return lambda df: trees.transform(vectors(df)).withColumn("chance", F.element_at(vector_to_array(F.col("probability")), 2))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Every row with host, path, rule, verdict and, for rows without a rule, the trees' chance of ``block``.
+
+    Rules are a short list; the URLs they cover are the labelled ones. The
+    trees are fitted on ``max_labelled`` at most (see ``fit_trees``). When all
+    labels agree their verdict is given, without any label ``allow``. Null URLs
+    have an empty host and path and no rule. Every row gives one row; other
+    columns are ignored.
+    """
+    rows = written(labelled_urls(pages, rules, id_col, url_col), "urls")
+    labelled = rows.filter("rule is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
+    # one row: how many labels there are of each kind
+    n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    out = [F.col("page_id").alias(id_col), "host", "path", "rule"]
+    if not n or blocked in (0, n):
+        only = "block" if n and blocked else "allow"
+        return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.when(F.col("rule").isNull(), F.lit(float(only == "block"))).alias("chance"))
+    asked = fit_trees(labelled, max_labelled)(rows.filter("rule is null"))
+    judged = asked.select(*out, F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("verdict"), "chance")
     ruled = rows.filter("rule is not null").select(*out, F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("chance"))
     return ruled.unionByName(judged)

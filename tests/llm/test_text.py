@@ -152,6 +152,21 @@ def test_trees_learn_unseen_urls(spark):
     assert len(got) == 200 and right >= 180
 
 
+def test_a_suffix_with_one_kind_of_label_is_no_verdict(spark):
+    """All labels of net are blocks; what else stands in net is judged by its letters, as in com."""
+    rng = random.Random(6)
+
+    def url(bad, tld):
+        name = "".join(rng.choice("abcdefgh0123456789-") for _ in range(24)) if bad else "".join(rng.choice("abcdefgh") for _ in range(6))
+        return f"http://{name}.{tld}/" + (f"x/{rng.randint(10**8, 10**9)}?a=1&b=2" if bad else "x/news")
+
+    rows = [(i, url(i % 2 == 0, "bad.com" if i % 2 == 0 else "good.com")) for i in range(400)]
+    rows += [(1000 + i, url(False, "net").replace("/x/", "/es/")) for i in range(200)] + [(2000 + i, url(i % 2 == 0, "net")) for i in range(200)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad.com/"), ("allow", "good.com/"), ("block", "net/es/")])
+    asked = got.filter("page_id >= 2000").collect()
+    assert sum((r["verdict"] == "block") == (r["page_id"] % 2 == 0) for r in asked) >= 180
+
+
 ITEM = "A train travels 60 km in 2 hours while Alice walks 5 km to the old station near the river. How fast is the train?"
 OTHER = "The green parrot of the captain learned to sing eleven songs before winter came over the quiet harbour town again."
 
