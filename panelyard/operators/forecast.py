@@ -205,10 +205,12 @@ def run_horizons(
     cutoff: int = fv.CUTOFF_YEAR,
     splits: int = 5,
     date: str = "panel_date",
+    always: bool = False,
 ) -> dict[str, DataFrame]:
     """All horizons and models: scores, metrics, confusion and calibration tables.
 
-    A horizon whose training part has one class only is left out. Every table
+    A horizon whose training part has one class only is left out. When all are,
+    there is no table, or with ``always`` each one without rows. Every table
     carries ``horizon_months`` and ``model``.
     """
     base = checkpointed(panel)
@@ -226,7 +228,11 @@ def run_horizons(
             scored = part if scored is None else scored.unionByName(part)
             thresholds = one if thresholds is None else thresholds.unionByName(one)
     if scored is None:
-        return {}
+        if not always:
+            return {}
+        tags = [F.lit(0).alias("horizon_months"), F.lit("").alias("model")]
+        scored = base.select(*tags, area, date, F.lit(0).alias("label"), F.lit(0.0).alias("score")).limit(0)
+        thresholds = scored.select("horizon_months", "model", F.col("score").alias("threshold"))
     by = ["horizon_months", "model"]
     scored = checkpointed(scored)
     cut = F.col("score") >= F.col("threshold")

@@ -295,7 +295,7 @@ DYNAMIC = ["conflict_persistence", "conflict_severity_weighted"]
 
 
 def forecast(spark, d, models, horizons=(6,)):
-    return G.run_horizons(panel(spark, d), "area", DYNAMIC, horizons=horizons, models=models, cutoff=2000, splits=3)
+    return G.run_horizons(panel(spark, d), "area", DYNAMIC, horizons=horizons, models=models, cutoff=2000, splits=3, always=True)
 
 
 @query("lr_scores")

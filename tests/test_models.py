@@ -62,6 +62,31 @@ def test_horizons(panel):
     assert one_class == {}
 
 
+def test_one_class_gives_empty_tables(spark, panel, tmp_path):
+    # a large panel may have the event in every area and month
+    setting = {"models": {"Logistic Regression": [{"C": 1.0}]}, "horizons": (1, 3), "cutoff": 2004, "splits": 2, "always": True}
+    some = G.run_horizons(panel, "SubCounty", ["x"], **setting)
+    none = G.run_horizons(panel.withColumn("conflict_onset", F.lit(1)), "SubCounty", ["x"], **setting)
+    assert none.keys() == some.keys()
+    for name, df in none.items():
+        assert df.collect() == [] and [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in some[name].schema], name
+
+
+@pytest.mark.parametrize("name", ["lr_scores", "rf_scores", "gbt_scores", "horizon_metrics"])
+def test_forecast_queries_take_one_class(spark, tmp_path, name):
+    from panelyard.plans.all_queries import QUERIES
+
+    nations = spark.range(25).selectExpr("cast(id as int) as n_nationkey", "cast(id % 5 as int) as n_regionkey")
+    nations.write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(25).selectExpr("id as c_custkey", "cast(id as int) as c_nationkey", "1.0D as c_acctbal", "'BUILDING' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    month = "add_months(date'1995-01-01', cast(id div 25 as int))"
+    spark.range(25 * 80).selectExpr(
+        "id as o_orderkey", "id % 25 as o_custkey", f"cast({month} as timestamp) as o_orderdate", "'1-URGENT' as o_orderpriority", "500000.0D as o_totalprice", "'F' as o_orderstatus"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    out = QUERIES[name](spark, str(tmp_path))
+    assert out.count() == 0 and "model" in out.columns
+
+
 def brute_shap(x, leaves, n_features):
     def value(known):
         total = 0.0
