@@ -1,12 +1,14 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from panelyard.functions import similarity as S
 from panelyard.operators import dedupe as U
 from panelyard.operators import hotkeys
+from panelyard.operators import overlap as V
 from panelyard.operators import records as R
 
 WORDS = "river land water dam eviction people county house town road farm goat".split()
@@ -113,6 +115,52 @@ def test_intake_matches_equal_brute_force(spark, unknowns, monkeypatch):
     assert flagged.count() == sum(bool(r[1].split()) for r in new)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_blocks_find_every_overlap(spark, kind, monkeypatch):
+    monkeypatch.setattr(V, "ROWS", 40)  # many blocks
+    rng = random.Random(3)
+    common, rows = [f"of{i}" for i in range(6)], []
+    for i in range(230):
+        words = common[: rng.randint(1, 6)] + [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 12))]
+        day = dt.date(2021, 1, 1) + dt.timedelta(days=rng.randint(0, 200)) if rng.random() < 0.8 else None
+        rows.append((i, " ".join(words), rng.choice(["N", "K", "T", None]), day))
+    one = U.intake_variants(spark.createDataFrame(rows, "id int, text string, county string, day date").withColumn("id", F.col("id").cast(kind)), "id", F.col("text"), F.col("county"), F.col("day")).cache()
+    facts = one.collect()
+
+    def want(left, right, same):
+        out = {}
+        for a in left:
+            for b in right:
+                apart = a["county"] and b["county"] and a["county"] != b["county"]
+                late = a["day"] and b["day"] and abs((a["day"] - b["day"]).days) > 30
+                s = jaccard(" ".join(a["words"]), " ".join(b["words"]))
+                if not apart and not late and s >= 0.3 and (not same or a["record"] < b["record"]):
+                    out[a["record"], b["record"]] = (a["copies"], b["copies"], s)
+        return out
+
+    found = lambda df: {(r[0], r[1]): tuple(r[2:]) for r in df.collect()}
+    assert found(U.similar_pairs(one, one, same_side=True)) == want(facts, facts, True)
+    part = one.filter("size < 6")
+    assert found(U.similar_pairs(one, part)) == want(facts, part.collect(), False)
+    assert U.similar_pairs(one, one.filter("size < 0")).count() == 0
+
+
+def test_products_lose_no_pair_of_a_block(monkeypatch):
+    # small products and few places, so that bounds are loose and pairs cross every border
+    for name, value in {"TILE": 7, "PLACES": 24, "OWN": 4}.items():
+        monkeypatch.setattr(V, name, value)
+    rng = random.Random(5)
+    sets = [sorted({f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 40))}) for _ in range(90)]
+    rows = pa.table({
+        "record": list(range(90)), "copies": [1] * 90, "county": ["N"] * 90, "day": pa.array([dt.date(2021, 1, 1)] * 90),
+        "words": [" ".join(w) for w in sets], "side": pa.array([0] * 90, pa.int32()),
+    })
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("s", pa.float64())])
+    got = {(r["a"], r["b"]): r["s"] for r in V._meet(rows, 0.3, 30, True, kind).to_pylist()}
+    every = {(i, j): jaccard(" ".join(sets[i]), " ".join(sets[j])) for i in range(90) for j in range(i + 1, 90)}
+    assert got == {p: s for p, s in every.items() if s >= 0.3} and 0 < len(got) < len(every)
+
+
 def test_reason_text(spark):
     r = spark.range(1).select(U.match_reason(F.lit(0.456), F.lit("new"), F.lit(7)).alias("r")).first()["r"]
     assert r == "46% similar to new record (7)"
