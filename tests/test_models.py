@@ -211,6 +211,33 @@ def test_vectors(spark):
     assert [list(r["vector"]) for r in got] == [[3.0, 1.0], [0.0, 1.0]]
 
 
+def test_texts_are_read_once(spark):
+    """The tokens behind weights and similarities are computed once, those of outliers once more."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(i):
+        read.add(1)
+        return [f"w{i % 7}", f"w{i % 5}", "all"]
+
+    def docs():
+        return spark.range(40).select(F.col("id").alias("doc"), (F.col("id") % 4 - 1).cast("int").alias("topic"), words("id").alias("t"))
+
+    def reads(run):
+        before = read.value
+        run(docs())
+        return read.value - before
+
+    assert reads(lambda df: T.topic_similarity(T.topic_weights(df, "topic", "t"), "topic").collect()) == 40
+    assert reads(lambda df: T.top_terms(T.topic_weights(df, "topic", "t"), "topic").collect()) == 40
+    assert reads(lambda df: T.reassign_outliers(df, "doc", "topic", "t").select("doc", "new_topic").collect()) <= 40 + 10
+
+
+def test_terms_of_one_topic_count_for_length_only(spark):
+    weights = spark.createDataFrame([(0, "a", 3.0, 2), (0, "b", 4.0, 1), (1, "a", 1.0, 2), (-1, "c", 9.0, 1)], "topic int, term string, weight double, topics long")
+    assert [tuple(r) for r in T.topic_similarity(weights, "topic").collect()] == [(0, 1, 0.6)]
+
+
 def sequential_merges(sims, ids, target):
     """One pair at a time: the closest groups by average similarity, ties to the smallest ids."""
     groups, history = {i: [i] for i in ids}, []
