@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelyard.functions import similarity as S
+from panelyard.operators import alike as A
 from panelyard.operators import dedupe as U
 from panelyard.operators import hotkeys
 from panelyard.operators import overlap as V
@@ -204,3 +205,42 @@ def test_keep_first_and_key_join(spark):
     right = spark.createDataFrame([("athi river", "Machakos ", 1)], "sa string, sc string, g int")
     got = R.key_join(left, right, ("a", "c"), ("sa", "sc")).orderBy("g").collect()
     assert [(r["g"], r["key_matched"]) for r in got] == [(None, False), (1, True)]
+
+
+@pytest.mark.parametrize("letters, share, alone", [(250, 0.5, None), (250, 0.5, True), (6, 0.5, False), (3, 1.0, None)])
+def test_side_by_side_scores_equal_single_ones(letters, share, alone, monkeypatch):
+    """Pairs ruled out together and scored together are those of the single comparison, whatever their length."""
+    monkeypatch.setattr(A, "LETTERS", letters)
+    monkeypatch.setattr(A, "SHARES", (share, 1.0))
+    monkeypatch.setattr(A, "LANES", 97)
+    if alone is not None:
+        monkeypatch.setattr(A, "_cheaper_alone", lambda pairs, words: alone)
+    rng = random.Random(letters)
+    texts = []
+    for _ in range(60):
+        words = rng.choices(WORDS + ["été", "süd", "木", "Zug"], k=rng.choice([1, 3, 30, 31, 90, 400]))
+        if texts and rng.random() < 0.6:
+            words = [w if rng.random() < 0.8 else rng.choice(WORDS) for w in rng.choice(texts).split()]
+        texts.append(" ".join(sorted(words)))
+    for threshold in (0.0, 62.5, 80.0, 100.0):
+        pool = A._Pool(texts)
+        i, j = (x.astype(int) for x in A.np.triu_indices(len(texts), 1))
+        got = {(a, b): s for i_, j_, s_ in A._alike(pool, iter([(i, j)]), threshold) for a, b, s in zip(i_, j_, s_)}
+        scores = {(a, b): S.ratio(texts[a], texts[b]) for a in range(len(texts)) for b in range(a + 1, len(texts))}
+        assert got == {pair: s for pair, s in scores.items() if s >= threshold}
+
+
+def test_few_pairs_of_one_language_are_compared_in_full(monkeypatch):
+    """Letter counts let nearly all pairs of long texts pass; the rarer letters must rule out nearly all of them."""
+    rng = random.Random(3)
+    parts = ["ver", "ein", "sch", "ten", "lich", "ung", "ba", "ko", "mu", "gra", "fol", "pi", "dor"]
+    known = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(800)]
+    texts = [" ".join(sorted(rng.choices(known, k=rng.randint(180, 220)))) for _ in range(120)]
+    texts.append(texts[7] + " zu")
+    seen, common = [], A._common
+    monkeypatch.setattr(A, "_common", lambda kept, i, j, need: seen.append(len(i)) or common(kept, i, j, need))
+    pool = A._Pool(texts)
+    i, j = (x.astype(int) for x in A.np.triu_indices(len(texts), 1))
+    found = [(a, b) for i_, j_, _ in A._alike(pool, iter([(i, j)]), 80.0) for a, b in zip(i_, j_)]
+    assert (7, 120) in found and set(found) == {(a, b) for a, b in zip(i, j) if S.ratio(texts[a], texts[b]) >= 80}
+    assert seen[0] > 0.5 * len(i) and seen[-1] < 0.05 * len(i)
