@@ -211,6 +211,31 @@ def test_vectors(spark):
     assert [list(r["vector"]) for r in got] == [[3.0, 1.0], [0.0, 1.0]]
 
 
+def test_text_vectors_are_those_of_the_library_and_read_texts_once(spark):
+    """The same vectors as Spark's own principal components, up to the sign, from one reading of the texts."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, PCA, HashingTF
+
+    rng = np.random.default_rng(5)
+    rows = [(k, [f"w{int(w)}" for w in rng.zipf(1.5, 30 * (k % 40)) % 300]) for k in range(400)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        read.add(1)
+        return n
+
+    df = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(3)
+    once = df.withColumn("tokens", F.when(F.udf(counted, "int")("id") >= 0, F.col("tokens")))
+    model = T.fit_text_vectors(once, "tokens", vocabulary=64, dimensions=5)
+    assert read.value == len(rows)
+    got = {r["id"]: r["vector"] for r in T.text_vectors(df, model).collect()}
+    stages = [HashingTF(inputCol="tokens", outputCol="f", numFeatures=64), IDF(inputCol="f", outputCol="g"), PCA(k=5, inputCol="g", outputCol="v")]
+    want = {r["id"]: r["v"].toArray() for r in Pipeline(stages=stages).fit(df).transform(df).select("id", "v").collect()}
+    a, b = (np.array([x[k] for k in range(len(rows))]) for x in (got, want))
+    sign = np.sign((a * b).sum(axis=0))
+    assert np.allclose(a, b * sign, atol=1e-8)
+
+
 def test_texts_are_read_once(spark):
     """The tokens behind weights and similarities are computed once, those of outliers once more."""
     read = spark.sparkContext.accumulator(0)
