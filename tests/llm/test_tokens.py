@@ -32,6 +32,19 @@ def test_encoder_equals_library(name):
         assert encoder.encode(text) == want, text
 
 
+def test_encoder_merges_a_unit_once():
+    encoder = IdEncoder(tokenizer_path("word_bpe_49k.json"))
+    asked, merged = [], encoder.units.merged
+    encoder.units.merged = lambda unit: asked.append(unit) or merged(unit)
+    rng = random.Random(5)
+    parts = [*PARTS, "\x1d", "\x1f", "\u1680", "\u2028", "\u0301", "\u0345", "\u1100\u1161", "y" * 60]
+    for text in ["The cat's 12 mats,\tThe cat's", *["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(4000)]]:
+        want = np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.encode(text) == want, text
+    short = [unit for unit in asked if len(unit) <= 48]
+    assert short[:4] == ["The", "cat's", "12", "mats,"] and len(short) == len(set(short))
+
+
 def test_whole_tokens_equal_library():
     counter = WholeTokens(tokenizer_path("piece_bpe_32k.model"))
     assert counter.separate and len(counter.proven) > 10_000
