@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelyard.llm.decontam import drop_leaks, leaks, window_hashes
-from panelyard.llm.htmltext import blocks, core, main_text, word_codes
+from panelyard.llm.htmltext import array_runs, blocks, core, main_text, packed, suffix_array, unpacked, word_codes
 from panelyard.llm.toxicity import drop_toxic, fit, passages, segments
 from panelyard.llm.urlfilter import judge_urls
 
@@ -75,6 +75,63 @@ def test_main_text_equals_brute_force(spark):
     assert cut > 500 and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_suffix_array_equals_sorted_suffixes(seed):
+    rng = random.Random(seed)
+    tokens = [rng.randint(0, rng.choice([1, 3, 50])) for _ in range(rng.randint(0, 120))] + [99]
+    order, shared = suffix_array(np.array(tokens))
+    want = sorted(range(len(tokens)), key=lambda k: tokens[k:])
+    assert order.tolist() == want
+    for a, b, n in zip(want, want[1:], shared[1:].tolist()):
+        assert tokens[a : a + n] == tokens[b : b + n] and tokens[a + n] != tokens[b + n]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_array_runs_equal_brute_force(seed):
+    rng = random.Random(seed)
+    heads, tails = ([[k * 100 + rng.randint(0, 4) for k in range(12)] for _ in range(2)] for _ in range(2))
+    made = set()
+    for _ in range(40):
+        inner = [rng.randint(0, 2) for _ in range(rng.randint(0, 4))]
+        words = rng.choice(heads)[: rng.randint(0, 12)] + inner + rng.choice(tails)[rng.randint(0, 12) :]
+        if len(words) >= 3:
+            made.add((tuple(words), rng.random() < 0.6, rng.random() < 0.6))
+    made = sorted(made)
+    found = array_runs([np.array(w, dtype=np.uint64) for w, _, _ in made], *(np.array([m[k] for m in made], dtype=np.int64) for k in (1, 2)), 3)
+    carried: dict = {}
+    for c, side, n, number, place in found:
+        carried.setdefault((side, n, number), set()).add(c)
+        assert place == (0 if side == 0 else len(made[c][0]) - n)
+    for c, (words, *signs) in enumerate(made):
+        for side, sign in enumerate(signs):
+            own = {n: held for (s, n, _), held in carried.items() if s == side and c in held}
+            for n in range(3, len(words) + 1 if sign else 0):
+                cut = (lambda w: w[:n]) if side == 0 else (lambda w: w[-n:])
+                want = {k for k, m in enumerate(made) if m[1 + side] and len(m[0]) >= n and cut(m[0]) == cut(words)}
+                # a run that is not given is carried by the same as the next longer one that is
+                assert own[min(k for k in own if k >= n)] == want
+            assert sign or not own
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([5], [0, 0, 7, 2**32 - 1], sorted(random.Random(1).choices(range(2**32), k=1000))):
+        assert unpacked(packed(np.array(numbers, dtype=np.uint32))).tolist() == numbers
+
+
+def test_main_text_is_the_same_in_parts_and_slices(spark):
+    rng = random.Random(4)
+    head, tail, line = ([f"{name}{j}" for j in range(30)] for name in ("head", "tail", "line"))
+    rows, texts = [], {}
+    for k in range(60):
+        own = [f"own{k}x{j}" for j in range(70)]
+        a, b = rng.choice([0, 20, 30]), rng.choice([0, 20, 30])
+        rows.append((k, "http://h.org/", f"<p>{' '.join(head[:a] + own[:40])}</p><p>{' '.join(line)}</p><p>{' '.join(own[40:] + tail[30 - b:])}</p>"))
+        texts[k] = "\n\n".join(map(" ".join, (own[:40], line, own[40:])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sizes in ({}, {"part_windows": 200}, {"slice_words": 25}, {"part_windows": 1000, "slice_words": 3}):
+        assert {r["page_id"]: r["text"] for r in main_text(pages, share=0.2, **sizes).collect()} == texts
+
+
 def test_main_text(spark):
     head, tail = "start of our site with links to all of its parts", "read more of our many stories on this and other sites today"
     own = {k: f"{k}\n\nown words of page number {k} " + " ".join(f"u{k}x{j}" for j in range(40)) for k in range(12)}
