@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import join_groups, whole_text, written
+from panelyard.llm.common import join_groups, possible, whole_text, written
 from panelyard.llm.minhash import mixed
 
 #: Words of a window, and bytes of its key.
@@ -21,7 +21,7 @@ _RUN, _LEFT, _RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659
 #: Odd factors of the two rolling hashes, and their inverses modulo 2^64.
 _FACTORS = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
-#: A far end that no run of names reaches.
+#: A span that no run of names reaches.
 _NEVER = (1 << 31) - 1
 
 
@@ -54,10 +54,11 @@ def rounds_for(window: int) -> int:
     """Levels after which windows still hold several names of their own.
 
     A level makes names a third longer on average and takes one and a half
-    names from each end of a window; up to a quarter of the window may go.
+    names from each end of a window; up to three fifths of the window may go.
+    Long names are few, and those of different passages are seldom equal.
     """
     level, lost, size = 0, 0.0, 1.0
-    while lost + 3 * size <= 0.25 * window:
+    while lost + 3 * size <= 0.6 * window:
         level, lost, size = level + 1, lost + 3 * size, size * 4 / 3
     return max(1, level)
 
@@ -136,11 +137,6 @@ def window_keys(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def asked(parse: Parse) -> np.ndarray:
-    """How many of the names before each place count: every second one by its hash, everywhere the same."""
-    return np.append(0, np.cumsum(mixed(parse.names ^ _LEFT) & np.uint64(1) == 0))
-
-
 def fits(ordinals: np.ndarray, reach: np.ndarray) -> bool:
     """Whether the shared names at these sorted places hold all that some window needs."""
     if not len(ordinals):
@@ -174,7 +170,7 @@ def joined_digest(words: list[bytes]) -> str:
 class _Block:
     """Texts of a block with the names their windows need.
 
-    A window needs the asked names it determines, ``low[p]`` to ``high[p]``
+    A window needs the names it determines, ``low[p]`` to ``high[p]``
     in order; one that determines none, as in one word said over and over,
     is open and needs its own key.
     """
@@ -184,14 +180,13 @@ class _Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = word_names([w for found in words for w in found])
         parse = Parse(self.words, self.sizes, rounds)
-        before = asked(parse)
-        self.names = parse.names[np.flatnonzero(np.diff(before))]
-        #: the asked names before each text
-        self.first = before[np.searchsorted(parse.at, np.append(self.starts, len(self.words)))]
+        self.names = parse.names
+        #: the names before each text
+        self.first = np.searchsorted(parse.at, np.append(self.starts, len(self.words)))
         self.at = window_starts(self.sizes, window)
         self.text = np.searchsorted(np.cumsum(self.sizes), self.at, side="right")
-        self.low = before[parse.left[self.at]]
-        self.high = np.maximum(before[parse.right[self.at + window]], self.low)
+        self.low = parse.left[self.at]
+        self.high = np.maximum(parse.right[self.at + window], self.low)
         self.open = np.flatnonzero(self.high == self.low)
         self.open_keys = window_keys(self.words, self.at[self.open], window)[:, 0] if len(self.open) else np.zeros(0, np.uint64)
 
@@ -202,13 +197,13 @@ class _Block:
 
 
 def named_texts(texts: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(doc_id, digest, n_words, all_sha256, names, reach) of (doc_id, digest, text).
+    """(doc_id, digest, n_words, all_sha256, names, spans) of (doc_id, digest, text).
 
-    ``names`` are the asked names of the last level in order, then the distinct
-    keys of open windows; ``reach`` says for each where the names end that the
+    ``names`` are the names of the last level in order, then the distinct keys
+    of open windows; ``spans`` says for each how many names from it on the
     shortest window beginning with it needs.
     """
-    kinds = "doc_id long, digest binary, n_words long, all_sha256 string, names array<long>, reach array<int>"
+    kinds = "doc_id long, digest binary, n_words long, all_sha256 string, names array<long>, spans array<int>"
 
     def parsed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,20 +213,20 @@ def named_texts(texts: DataFrame, window: int, rounds: int) -> DataFrame:
             near = np.full(len(block.names) + 1, _NEVER, np.int64)
             held = block.high > block.low
             np.minimum.at(near, block.low[held], block.high[held])
-            names, reach = [], []
+            names, spans = [], []
             for k, size in enumerate(block.sizes):
                 if size < window:
                     names.append([])
-                    reach.append([])
+                    spans.append([])
                     continue
                 lo, hi = block.first[k], block.first[k + 1]
                 own = np.unique(block.open_of(k)[1])
-                ends = np.where(near[lo:hi] < _NEVER, near[lo:hi] - lo, _NEVER)
+                needed = np.where(near[lo:hi] < _NEVER, near[lo:hi] - np.arange(lo, hi), _NEVER)
                 names.append(np.append(block.names[lo:hi], own).astype(np.int64))
-                reach.append(np.append(ends, np.arange(hi - lo, hi - lo + len(own)) + 1).astype(np.int32))
+                spans.append(np.append(needed, np.ones(len(own), np.int64)).astype(np.int32))
             columns = [batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)]
             columns += [pa.array(block.sizes, pa.int64()), pa.array([joined_digest(w) for w in words], pa.string())]
-            columns += [pa.array(names, pa.list_(pa.int64())), pa.array(reach, pa.list_(pa.int32()))]
+            columns += [pa.array(names, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in kinds.split(", ")])
 
     return texts.select("doc_id", "digest", "text").mapInArrow(parsed, kinds)
@@ -239,9 +234,9 @@ def named_texts(texts: DataFrame, window: int, rounds: int) -> DataFrame:
 
 def shared_names(parsed: DataFrame) -> DataFrame:
     """(row, ordinals) of the texts with a window whose names all stand in two rows or more."""
-    names = parsed.select("row", F.posexplode(F.arrays_zip("names", "reach")).alias("ordinal", "cell"))
-    # place and reach travel as one number
-    names = names.select("row", F.col("cell.names").alias("name"), (F.shiftleft(F.col("ordinal").cast("long"), 32) + F.col("cell.reach")).alias("cell"))
+    names = parsed.select("row", F.posexplode(F.arrays_zip("names", "spans")).alias("ordinal", "cell"))
+    # place and span travel as one number
+    names = names.select("row", F.col("cell.names").alias("name"), (F.shiftleft(F.col("ordinal").cast("long"), 32) + F.col("cell.spans")).alias("cell"))
     # a name of one text only can be in no window that another has
     sums = names.groupBy("name").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("size"))
     shared = written(sums.filter("low < high").select("name", "size"), "shared-names")
@@ -255,7 +250,7 @@ def shared_names(parsed: DataFrame) -> DataFrame:
 
         for batch in batches:
             cells = [c.values.to_numpy() for c in batch.column(1)]
-            keep = [fits(c >> 32, c & _NEVER) for c in cells]
+            keep = [fits(c >> 32, (c >> 32) + (c & _NEVER)) for c in cells]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([(c >> 32).astype(np.int32) for c in cells], pa.list_(pa.int32()))], names=["row", "ordinals"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
@@ -346,18 +341,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     """
     rounds = rounds_for(window)
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.cast("binary").alias("text"))
-    parsed = written(named_texts(rows, window, rounds).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    columns = ["doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text"]
+    parsed = written(named_texts(texts.select(*columns), window, rounds).withColumn("row", F.monotonically_increasing_id()), "parsed")
     n_rows = parsed.count()
     light = parsed.select("row", "doc_id", "digest", "n_words", "all_sha256")
     groups = written(light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")), "groups")
     folded = written(join_groups(light, groups, "digest", "size", n_rows), "folded")
     # of equal texts those with the smallest id go on
     copies = folded.filter("not doc_id <=> first or doc_id is null").select("row")
-    marks = written(shared_names(parsed.select("row", "names", "reach").join(copies, "row", "left_anti")), "marks")
+    marks = written(shared_names(parsed.select("row", "names", "spans").join(copies, "row", "left_anti")), "marks")
     asked = folded.select("row", "doc_id", "digest").join(marks, "row")
-    few = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
-    touched = written(few.join(asked, ["doc_id", "digest"]).drop("digest"), "touched")
+    few = possible(texts, asked, "doc_id", n_rows).select(*columns).dropDuplicates(["doc_id", "digest"])
+    touched = written(few.join(asked, ["doc_id", "digest"]).drop("digest"), "touched", "zstd")
     windows = written(_candidates(touched, window, rounds), "windows")
     sums = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size"))
     again = written(sums.filter("low < high").drop("high"), "again")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -197,3 +198,27 @@ def test_repeats_in_long_texts_and_none(docs):
     assert sorted(tuple(r) for r in got.collect()) == brute_repeats(rows, 50)
     got, cut = repeats(docs([]))
     assert got.collect() == [] and cut.collect() == []
+
+
+def test_texts_of_shared_phrases_only_are_not_dealt(spark, docs):
+    pick = random.Random(3)
+    phrases = [" ".join(f"w{pick.randrange(5000)}" for _ in range(4)) for _ in range(500)]
+    rows = [(i, " ".join(pick.choices(phrases, k=50))) for i in range(150)]
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(root.glob("touched-*"))
+    got, _ = repeats(docs(rows))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(rows, 50)
+    (touched,) = set(root.glob("touched-*")) - before
+    # no window stands in two texts
+    assert not any(r[2] for r in brute_repeats(rows, 50))
+    assert spark.read.parquet(str(touched)).count() <= 30
+
+
+def test_possible_keeps_every_key_and_few_others(spark):
+    from panelyard.llm.common import possible
+
+    rows = spark.range(-20_000, 20_000).withColumn("note", F.lit("x")).unionAll(spark.sql("SELECT cast(null AS long), 'none'"))
+    keys = spark.range(-20_000, 20_000, 7).unionAll(spark.sql("SELECT cast(null AS long)"))
+    got = [r[0] for r in possible(rows, keys, "id", 40_001).select("id").collect()]
+    assert len(got) == len(set(got)) and set(got) >= set(range(-20_000, 20_000, 7)) and len(got) < 10_000
+    assert possible(rows, keys.limit(0), "id", 40_001).collect() == []
