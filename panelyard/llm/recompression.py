@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,10 +29,14 @@ _NEVER = (1 << 31) - 1
 class _Names(dict):
     """Word -> 64-bit name, the same in every task."""
 
-    def __missing__(self, word: bytes) -> int:
+    @functools.cached_property
+    def named(self):
         import xxhash
 
-        value = xxhash.xxh3_64_intdigest(word)
+        return xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        value = self.named(word)
         if len(self) >= _WORDS_KEPT:
             self.clear()
         if len(word) <= 48:
@@ -78,20 +83,26 @@ class Parse:
         starts = np.cumsum(sizes) - sizes
         head = np.zeros(n, bool)
         head[starts[sizes > 0]] = True
-        self.left, self.right = np.arange(n + 1), np.arange(n + 1)
         self.names, self.head, self.at = names, head, np.arange(n)
+        maps = []
         for level in range(1, rounds + 1):
             if n:
-                self._runs()
-                self._pairs(level)
+                (left, right), (then_left, then_right) = self._runs(), self._pairs(level)
+                maps.append((then_left[left], then_right[right]))
+        # from the last step back, so that few of the maps are as long as the texts
+        self.left = self.right = np.arange(len(self.names) + 1, dtype=np.int32)
+        while maps:
+            left, right = maps.pop()
+            self.left, self.right = self.left[left], self.right[right]
 
     def _keep(self, first: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Keeps the names at ``first``; where each old name went."""
-        place = np.append(np.cumsum(first) - 1, np.count_nonzero(first))
+        place = np.append(np.cumsum(first, dtype=np.int32) - np.int32(1), np.int32(np.count_nonzero(first)))
         self.names, self.head, self.at = names[first], self.head[first], self.at[first]
         return place
 
-    def _runs(self) -> None:
+    def _runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names every run; where a window's first name and the one behind its last go."""
         names = self.names
         first = np.append(True, names[1:] != names[:-1]) | self.head
         length = np.diff(np.append(np.flatnonzero(first), len(names))).astype(np.uint64)
@@ -99,10 +110,10 @@ class Parse:
         named[first] = np.where(length > 1, mixed(names[first] + length * _RUN), names[first])
         place = self._keep(first, named)
         # a run at the edge of a window may go on outside
-        self.left = np.minimum(place[self.left] + 1, len(self.names))
-        self.right = np.where(self.right > 0, place[self.right - 1], 0)
+        return np.minimum(place + np.int32(1), np.int32(len(self.names))), np.append(np.int32(0), place[:-1])
 
-    def _pairs(self, level: int) -> None:
+    def _pairs(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names every pair; where a window's first name and the one behind its last go."""
         names = self.names
         on_right = (mixed(names ^ mixed(np.full(1, level, np.uint64))) & np.uint64(1)).astype(bool)
         pair = np.append(~on_right[:-1] & on_right[1:] & ~self.head[1:], False)
@@ -110,12 +121,10 @@ class Parse:
         follower = np.append(names[1:], np.uint64(0))
         named = np.where(pair, mixed(names * _LEFT + follower * _RIGHT + np.uint64(level)), names)
         # a right name at the start of a window may end a pair, a left name at its end may begin one
-        left = np.minimum(self.left + np.append(on_right, False)[self.left], len(names))
-        last = np.maximum(self.right - 1, 0)
-        right = np.where(self.right > 0, self.right - ~on_right[last], 0)
+        left = np.arange(len(names) + 1) + np.append(on_right, False)
+        right = np.append(0, np.arange(len(names)) + on_right)
         place = self._keep(first, named)
-        self.left = place[left]
-        self.right = np.where(right > 0, place[np.maximum(right - 1, 0)] + 1, 0)
+        return place[left], np.where(right > 0, place[right - 1] + np.int32(1), np.int32(0))
 
 
 def window_starts(sizes: np.ndarray, window: int) -> np.ndarray:
@@ -188,11 +197,12 @@ class _Block:
         self.low = parse.left[self.at]
         self.high = np.maximum(parse.right[self.at + window], self.low)
         self.open = np.flatnonzero(self.high == self.low)
+        self.open_text = self.text[self.open]
         self.open_keys = window_keys(self.words, self.at[self.open], window)[:, 0] if len(self.open) else np.zeros(0, np.uint64)
 
     def open_of(self, text: int) -> tuple[np.ndarray, np.ndarray]:
         """The open windows of a text and their keys."""
-        a, b = np.searchsorted(self.text[self.open], [text, text + 1])
+        a, b = np.searchsorted(self.open_text, [text, text + 1])
         return self.open[a:b], self.open_keys[a:b]
 
 
