@@ -159,6 +159,23 @@ def test_main_text_keeps_quotes_copies_and_pages_of_boilerplate(spark):
     assert {(r["page_id"], r["text"]) for r in main_text(pages, share=0.05).collect()} == {(i, text) for i, _, text in rows}
 
 
+def test_main_text_keeps_what_stands_beside_an_article(spark):
+    banner, foot = "welcome to our site and all of its many pages", "read more of our many stories on this and other sites today"
+    own = [" ".join(f"own{k}x{j}" for j in range(20)) for k in range(16)]
+    side = [" ".join(f"side{k}x{j}" for j in range(12)) for k in range(16)]
+    rows, texts = [], {}
+    for k in range(12):
+        before = f"<div>{banner} {side[k]}</div>" if k % 2 else f"<div>{banner}</div>"
+        rows.append((k, f"<nav>menu {k}</nav>{before}<article><h1>T{k}</h1><p>{own[k]}</p></article><div>{side[k]} end{k}</div><div>{foot}</div><footer>f</footer>"))
+        texts[k] = "\n\n".join([side[k]] * (k % 2) + [f"T{k}", own[k], f"{side[k]} end{k}"])
+    # the main text stands beside a teaser, between two articles, and in containers only
+    rows += [(12, f"<article><p>teaser</p></article><div><p>{own[12]}</p></div>"), (13, f"<article>a</article><p>{own[13]}</p><article>b</article>")]
+    rows += [(14, f"<form><h1>T</h1><p>{own[14]}</p></form>"), (15, f"<div class='has-sidebar'><article>{own[15]}</article></div>")]
+    texts |= {12: f"teaser\n\n{own[12]}", 13: f"a\n\n{own[13]}\n\nb", 14: f"T\n\n{own[14]}", 15: own[15]}
+    pages = spark.createDataFrame([(k, f"http://h.org/{k}", h) for k, h in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in main_text(pages).collect()} == texts
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
