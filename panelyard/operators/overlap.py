@@ -1,12 +1,15 @@
 """Word sets that overlap by a Jaccard share: blocks of records compared by matrix products.
 
 Few records of different events agree, but very many share some words, so an
-equi-join on words meets almost all pairs. Here two blocks meet in one task.
-Their words become places of a 0/1 row per record; the product of two such
-rows, plus the words that share a place, bounds the common words from above.
-The few pairs that pass are counted word by word, so the result is exact.
-Work grows with the pairs that county and date allow, at some 30 ns each;
-memory with two blocks.
+equi-join on words meets almost all pairs. Here blocks of records are packed
+into one row each, and parts of blocks meet in a Cartesian product, which reads
+them again instead of shuffling copies. Words are 64-bit names and become places
+of a 0/1 row per record, more places for longer records; the product of two
+such rows, plus the words that share a place, bounds the common words from
+above. The few pairs that pass are bounded again by rows of bits, and what is
+left is counted word by word, so the result is exact.
+Work grows with the pairs that county, date and size allow; disk with the
+records, memory with two parts.
 """
 
 from __future__ import annotations
@@ -21,30 +24,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.session import stored
+from panelyard.session import checkpointed
 
-#: Records and words of a block at most (a longer record is a block of its own range).
-ROWS, WORDS = 16_384, 8_000_000
-#: Places of a record's row; the most frequent words have one each, the others share the rest.
-PLACES, OWN = 2048, 512
-#: Records a side of one matrix product.
-TILE = 2048
+#: Records and words of a block at most (a longer record is a block of its own).
+ROWS, WORDS = 1024, 300_000
+#: Blocks of a part at least, where there are enough.
+READ = 16
+#: Places of a record's row at most and at least (powers of two count), and for each word of the longest record of a product.
+PLACES, OWN, ROOM = 2048, 256, 3
+#: Records a side of one matrix product; bits of a record, a multiple of its places.
+TILE, BITS = 256, 16_384
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_VIEWS = {8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}
 
-def _blocks(side: DataFrame, same: bool) -> tuple[DataFrame, DataFrame]:
-    """The records with their block, ranged by county and day, and what each block holds."""
+
+def packed(side: DataFrame) -> DataFrame:
+    """One row per block of records that lie close in county and day: what it holds, and the records in ``held``.
+
+    Every part begins with a row that holds nothing; ``first`` marks the block behind it.
+    """
     n, words = side.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # enough pairs of blocks for all cores, few enough copies of a block
     cores = side.sparkSession.sparkContext.defaultParallelism
-    wide = math.ceil(math.sqrt(4 * cores)) if same else 4 * cores
-    parts = max(1, math.ceil(n / ROWS), math.ceil(words / WORDS), min(math.ceil(n / 1000), wide))
-    rows = side.select("record", "copies", "county", "day", F.array_join("words", " ").alias("words"))
-    rows = stored(rows.repartitionByRange(parts, "county", "day", "record").withColumn("block", F.spark_partition_id()), "blocks")
-    held = rows.groupBy("block").agg(
-        F.min("county").alias("c0"), F.max("county").alias("c1"), F.bool_or(F.col("county").isNull()).alias("any_c"),
-        F.min("day").alias("d0"), F.max("day").alias("d1"), F.bool_or(F.col("day").isNull()).alias("any_d"),
-    )
-    return rows, held
+    blocks = max(1, math.ceil(n / ROWS), math.ceil(words / WORDS))
+    # enough pairs of parts for all cores, few enough to read a block seldom
+    parts = max(math.ceil(blocks / max(READ, math.ceil(blocks / 128))), min(math.ceil(n / 500), math.ceil(math.sqrt(6 * cores))), 1)
+    rows_at_most, words_at_most = ROWS, WORDS
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[pa.RecordBatch] = []
+        n = words = done = 0
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.date32(), pa.date32(), pa.bool_(), pa.bool_(), pa.binary()]
+
+        def row(facts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f], k) for f, k in zip(facts, kinds)], names=["c0", "c1", "any_c", "d0", "d1", "any_d", "first", "held"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not done:
+                yield row([None] * 8)
+            rows = pa.Table.from_batches(gathered).combine_chunks()
+            day = pc.min_max(rows["day"]).as_py()
+            county = pc.min_max(rows["county"]).as_py()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as stream:
+                stream.write_table(rows)
+            facts = [county["min"], county["max"], rows["county"].null_count > 0, day["min"], day["max"], rows["day"].null_count > 0]
+            yield row([*facts, not done, sink.getvalue().to_pybytes()])
+
+        for batch in batches:
+            sizes = np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(sizes):
+                before = sizes[at - 1] if at else 0
+                end = min(at + rows_at_most - n, int(np.searchsorted(sizes, before + words_at_most - words, side="right")))
+                if end <= at and n == 0:
+                    end = at + 1
+                if end > at:
+                    gathered.append(batch.slice(at, end - at))
+                    n, words, at = n + end - at, words + int(sizes[end - 1] - before), end
+                if at < len(sizes):
+                    yield from out()
+                    gathered, n, words, done = [], 0, 0, done + 1
+        if n:
+            yield from out()
+
+    rows = side.select("record", "copies", F.col("county").cast("string").alias("county"), "day", F.array_join("words", " ").alias("words"))
+    rows = rows.repartitionByRange(parts, "county", "day", "record").coalesce(parts).sortWithinPartitions("county", "day")
+    names = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
+    kind = "c0 string, c1 string, any_c boolean, d0 date, d1 date, any_d boolean, first boolean, held binary"
+    held = rows.select("record", "copies", "county", "day", names.alias("codes")).mapInArrow(block, kind)
+    return checkpointed(held.withColumn("block", F.monotonically_increasing_id()))
 
 
 def _may_meet(window_days: int) -> Column:
@@ -56,124 +105,144 @@ def _may_meet(window_days: int) -> Column:
     return county & day
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class _Side:
     """The records of one block, shortest first; ``codes`` are all their words, ``start`` where each record's begin."""
 
-    def __init__(self, rows: pa.Table, codes: np.ndarray, sizes: np.ndarray, counties: np.ndarray):
-        order = np.argsort(sizes, kind="stable")
+    def __init__(self, rows: pa.Table):
+        lists = rows["codes"].combine_chunks()
+        codes = lists.flatten().to_numpy().view(np.uint64) * _ODD
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.order = order = np.argsort(sizes, kind="stable")
         ends = np.cumsum(sizes)
         self.sizes = sizes[order]
         self.start = np.concatenate([[0], np.cumsum(self.sizes)])
         self.codes = codes[_ranges((ends - sizes)[order], self.sizes)]
-        self.counties = counties[order]
-        days = rows["day"].cast(pa.int32()).cast(pa.float32()).to_numpy()
-        self.days = days[order]
-        self.order = order
-
-    def tile(self, low: int, high: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """0/1 rows of some records, and how many of their words share a place."""
-        x = np.zeros((high - low, PLACES), dtype=np.float32)
-        at = np.repeat(np.arange(high - low), self.sizes[low:high])
-        x[at, place[self.codes[self.start[low] : self.start[high]]]] = 1.0
+        counties = rows["county"].combine_chunks().dictionary_encode()
+        self.names = counties.dictionary.to_pylist()
+        self.counties = pc.fill_null(counties.indices, -1).to_numpy(zero_copy_only=False)[order]
+        self.days = rows["day"].cast(pa.int32()).cast(pa.float32()).to_numpy()[order]
+        self.rows = rows.select(["record", "copies"])
+        self.kept: np.ndarray | None = None
+
+    def bits(self) -> np.ndarray:
+        """A bit for each of many places, set where a word has its place."""
+        if self.kept is None:
+            self.kept = np.zeros((len(self.sizes), BITS // 64), dtype=np.uint64)
+            for low in range(0, len(self.sizes), 256):
+                high = min(low + 256, len(self.sizes))
+                x = np.zeros((high - low, BITS), dtype=bool)
+                places = (self.codes[self.start[low] : self.start[high]] >> np.uint64(32)) * np.uint64(BITS) >> np.uint64(32)
+                x[np.repeat(np.arange(high - low), self.sizes[low:high]), places.astype(np.int64)] = True
+                self.kept[low:high] = np.packbits(x, axis=1).view(np.uint64)
+            self.crowd = self.sizes - np.bitwise_count(self.kept).sum(axis=1, dtype=np.int64)
+        return self.kept
+
+    def tile(self, low: int, high: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """0/1 rows of some records, a place for every few bits, and how many of their words share a place."""
+        bits, share = self.bits()[low:high], BITS // width
+        if share in _VIEWS:
+            x = bits.view(_VIEWS[share]) != 0
+        else:
+            x = np.unpackbits(bits.view(np.uint8), axis=1).reshape(high - low, width, share).any(axis=2)
+        x = x.astype(np.float32)
         return x, self.sizes[low:high].astype(np.float32) - x.sum(axis=1)
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for every length, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+def _most(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common words at most, from rows of bits."""
+    out = np.empty(len(i), dtype=np.int64)
+    for at in range(0, len(i), 1024):
+        x, y = i[at : at + 1024], j[at : at + 1024]
+        out[at : at + 1024] = np.bitwise_count(a.bits()[x] & b.bits()[y]).sum(axis=1, dtype=np.int64) + np.minimum(a.crowd[x], b.crowd[y])
+    return out
 
 
-def _shared(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, n_words: int) -> np.ndarray:
+def _shared(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Common words of every pair (i, j); ``i`` comes sorted."""
     out = np.empty(len(i), dtype=np.int64)
-    mine = np.zeros(n_words, dtype=bool)
     firsts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
     for low, high in zip(firsts, [*firsts[1:], len(i)]):
-        own = a.codes[a.start[i[low]] : a.start[i[low] + 1]]
-        mine[own] = True
+        own = np.sort(a.codes[a.start[i[low]] : a.start[i[low] + 1]])
         for k in range(low, high, 4096):
             others = j[k : min(k + 4096, high)]
-            hits = mine[b.codes[_ranges(b.start[others], b.sizes[others])]]
+            theirs = b.codes[_ranges(b.start[others], b.sizes[others])]
+            hits = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
             begins = np.concatenate([[0], np.cumsum(b.sizes[others])[:-1]])
             out[k : k + len(others)] = np.add.reduceat(hits, begins, dtype=np.int64)
-        mine[own] = False
     return out
 
 
-def _alike(a: _Side, b: _Side, one: bool, place: np.ndarray, n_words: int, threshold: float, window: int) -> Iterator:
+def _alike(a: _Side, b: _Side, one: bool, threshold: float, window: int) -> Iterator:
     """(i, j, similarity) arrays of the pairs at the threshold; ``one``: both sides are the same block."""
     share = threshold / (1.0 + threshold)
+    known = {name: k for k, name in enumerate(a.names)}
+    theirs = np.array([*(known.get(name, -2 - k) for k, name in enumerate(b.names)), -1])[b.counties]
+    widths = [1 << k for k in range(20) if OWN <= 1 << k <= PLACES]
     for low in range(0, len(a.sizes), TILE):
         high = min(low + TILE, len(a.sizes))
-        x, crowd_a = a.tile(low, high, place)
         need_a = share * a.sizes[low:high].astype(np.float32)
+        mine: dict = {}
         found = []
         for left in range(low if one else 0, len(b.sizes), TILE):
             right = min(left + TILE, len(b.sizes))
             # records come by size: all of a tile may be too short for all of the other
             if b.sizes[right - 1] < threshold * a.sizes[low] - 1e-6 or a.sizes[high - 1] < threshold * b.sizes[left] - 1e-6:
                 continue
-            near = ~(np.abs(a.days[low:high, None] - b.days[None, left:right]) > window)
-            ca, cb = a.counties[low:high, None], b.counties[None, left:right]
-            near &= (ca == cb) | (ca < 0) | (cb < 0)
-            if not near.any():
-                continue
-            y, crowd_b = b.tile(left, right, place)
+            width = next((w for w in widths if w >= ROOM * max(a.sizes[high - 1], b.sizes[right - 1])), widths[-1])
+            if width not in mine:
+                mine[width] = a.tile(low, high, width)
+            (x, crowd_a), (y, crowd_b) = mine[width], b.tile(left, right, width)
             most = x @ y.T
             most += np.minimum(crowd_a[:, None], crowd_b[None, :])
             # far more slack than single precision needs
             most -= need_a[:, None] - 0.05
-            near &= most >= share * b.sizes[left:right].astype(np.float32)
-            i, j = np.nonzero(near)
+            i, j = np.nonzero(most >= share * b.sizes[left:right].astype(np.float32))
             i, j = i + low, j + left
+            near = ~(np.abs(a.days[i] - b.days[j]) > window)
+            near &= (a.counties[i] == theirs[j]) | (a.counties[i] < 0) | (theirs[j] == -1)
+            near &= np.minimum(a.sizes[i], b.sizes[j]) >= threshold * np.maximum(a.sizes[i], b.sizes[j]) - 1e-6
             if one:
-                i, j = i[i < j], j[i < j]
-            found.append((i, j))
-        if not found:
+                near &= i < j
+            found.append((i[near], j[near]))
+        i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        if not len(i):
             continue
-        i, j = (np.concatenate(c) for c in zip(*found))
+        good = _most(a, b, i, j) >= share * (a.sizes[i] + b.sizes[j]) - 1e-6
+        i, j = i[good], j[good]
         by = np.argsort(i, kind="stable")
         i, j = i[by], j[by]
-        common = _shared(a, b, i, j, n_words)
+        common = _shared(a, b, i, j)
         similarity = common / (a.sizes[i] + b.sizes[j] - common)
         good = similarity >= threshold
         yield i[good], j[good], similarity[good]
 
 
-def _meet(rows: pa.Table, threshold: float, window: int, same: bool, out: pa.Schema) -> pa.Table:
-    """All similar pairs of the two blocks (or the one block) of a task."""
-    rows = rows.combine_chunks()
-    lists = pc.split_pattern(rows["words"], " ").combine_chunks()
-    words = lists.flatten().dictionary_encode()
-    codes, n_words = words.indices.to_numpy(), len(words.dictionary)
-    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    counties = pc.fill_null(rows["county"].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-    by_count = np.argsort(-np.bincount(codes, minlength=n_words), kind="stable")
-    place = np.empty(n_words, dtype=np.int32)
-    rank = np.arange(n_words)
-    place[by_count] = np.where(rank < OWN, rank, OWN + rank % (PLACES - OWN))
-
-    side = rows["side"].to_numpy()
-    of_word = np.repeat(side, sizes)
-
-    def part(which: int) -> tuple[pa.Table, _Side]:
-        at = side == which
-        mine = rows.filter(pa.array(at))
-        return mine, _Side(mine, codes[of_word == which], sizes[at], counties[at])
-
-    one = same and not (side == 1).any()
-    (rows_a, a), (rows_b, b) = part(0), part(0 if one else 1)
-    tables = []
-    for i, j, similarity in _alike(a, b, one, place, n_words, threshold, window):
-        left, right = (t.select(["record", "copies"]).take(pa.array(s.order[k])) for t, s, k in ((rows_a, a, i), (rows_b, b, j)))
+def _pairs(a: _Side, b: _Side, one: bool, same: bool, threshold: float, window: int, out: pa.Schema) -> Iterator[pa.Table]:
+    for i, j, similarity in _alike(a, b, one, threshold, window):
+        left, right = (s.rows.take(pa.array(s.order[k])) for s, k in ((a, i), (b, j)))
         ids, copies = [left["record"], right["record"]], [left["copies"], right["copies"]]
         if same:
             first = pc.less(ids[0], ids[1])
             ids = [pc.if_else(first, *ids), pc.if_else(first, ids[1], ids[0])]
             copies = [pc.if_else(first, *copies), pc.if_else(first, copies[1], copies[0])]
-        tables.append(pa.table([*ids, *copies, pa.array(similarity)], schema=out))
-    return pa.concat_tables(tables) if tables else out.empty_table()
+        yield pa.table([*ids, *copies, pa.array(similarity)], schema=out)
+
+
+def _meet(rows: pa.Table, threshold: float, window: int, same: bool, out: pa.Schema) -> pa.Table:
+    """All similar pairs of the two blocks (or the one block) of a table whose ``words`` are texts."""
+    lists = pc.split_pattern(rows["words"].combine_chunks(), " ")
+    names = lists.flatten().dictionary_encode().indices.cast(pa.int64())
+    rows = rows.drop_columns(["words"]).append_column("codes", pa.ListArray.from_arrays(lists.offsets, names))
+    one = same and not pc.any(pc.equal(rows["side"], 1)).as_py()
+    a = _Side(rows.filter(pc.equal(rows["side"], 0)))
+    b = a if one else _Side(rows.filter(pc.equal(rows["side"], 1)))
+    return pa.concat_tables([out.empty_table(), *_pairs(a, b, one, same, threshold, window, out)])
 
 
 def overlapping(left: DataFrame, right: DataFrame, threshold: float, window_days: int, same: bool) -> DataFrame:
@@ -182,26 +251,50 @@ def overlapping(left: DataFrame, right: DataFrame, threshold: float, window_days
     Counties agree or one is unknown, dates are at most ``window_days`` apart
     or one is unknown. With ``same`` both are one set and a_record is smaller.
     """
+    a = packed(left)
+    return blocks_overlapping(a, a if same else packed(right), left.schema["record"].dataType, right.schema["record"].dataType, threshold, window_days, same)
+
+
+def blocks_overlapping(left: DataFrame, right: DataFrame, kind_a: T.DataType, kind_b: T.DataType, threshold: float, window_days: int, same: bool) -> DataFrame:
+    """The same over ``packed`` blocks; the kinds are those of their records."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows_a, held_a = _blocks(left, same)
-    rows_b, held_b = (rows_a, held_a) if same else _blocks(right, same)
-    test = _may_meet(window_days)
+    meets = _may_meet(window_days)
     if same:
-        test = test & (F.col("a.block") <= F.col("b.block"))
-    pairs = held_a.alias("a").join(F.broadcast(held_b).alias("b"), test).select(F.col("a.block").alias("ba"), F.col("b.block").alias("bb"))
-    pairs = stored(pairs, "pairs")
-    sent = rows_a.join(F.broadcast(pairs), F.col("block") == F.col("ba")).withColumn("side", F.lit(0))
-    met = rows_b.join(F.broadcast(pairs.filter("ba <> bb") if same else pairs), F.col("block") == F.col("bb")).withColumn("side", F.lit(1))
+        # of (a, b) and (b, a) one is taken, as often above the diagonal as below it
+        meets = meets & ((F.col("a.block") == F.col("b.block")) | (((F.col("a.block") + F.col("b.block")) % 2 == 0) == (F.col("a.block") < F.col("b.block"))))
     kind = T.StructType(
-        [T.StructField(f"{s}_record", left.schema["record"].dataType) for s in "ab"]
+        [T.StructField("a_record", kind_a), T.StructField("b_record", kind_b)]
         + [T.StructField(f"{s}_copies", T.LongType()) for s in "ab"] + [T.StructField("similarity", T.DoubleType())]
     )
     out = to_arrow_schema(kind)
 
-    def task(rows: pa.Table) -> pa.Table:
-        return _meet(rows, threshold, window_days, same, out)
+    def opened(held: pa.Scalar) -> _Side:
+        return _Side(pa.ipc.open_stream(held.as_buffer()).read_all())
 
-    # parts enough that few pairs of blocks share one
-    both = sent.unionByName(met).repartition(max(1, 2 * pairs.count()), "ba", "bb")
-    return both.groupBy("ba", "bb").applyInArrow(task, kind)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, others = (None, None), {}
+        for batch in batches:
+            for x, y, meets, held_a, held_b in zip(*(batch.column(k) for k in range(5))):
+                x, y = x.as_py(), y.as_py()
+                if held_a.is_valid:
+                    mine = (x, opened(held_a))
+                if held_b.is_valid:
+                    others[y] = opened(held_b)
+                if not meets.as_py():
+                    continue
+                if mine[0] != x:
+                    raise ValueError("a block came before its part's first row")
+                one = same and x == y
+                for table in _pairs(mine[1], mine[1] if one else others[y], one, same, threshold, window_days, out):
+                    yield from table.combine_chunks().to_batches()
+
+    # a task goes through the part of b for each block of a in turn; the row that holds nothing brings the block of a,
+    # the part's first block of a brings the blocks of b, all other rows name two blocks that the task has
+    begins = F.col("b.held").isNull()
+    met = left.filter("held is not null").alias("a").join(right.alias("b").hint("shuffle_replicate_nl"), begins | F.col("a.first") | meets)
+    met = met.select(
+        F.col("a.block").alias("x"), F.col("b.block").alias("y"), (~begins & F.coalesce(meets, F.lit(False))).alias("meets"),
+        F.when(begins, F.col("a.held")).alias("held_a"), F.when(F.col("a.first"), F.col("b.held")).alias("held_b"),
+    )
+    return met.mapInArrow(task, kind)

@@ -4,6 +4,7 @@ import random
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions import similarity as S
 from panelyard.operators import alike as A
@@ -162,6 +163,31 @@ def test_products_lose_no_pair_of_a_block(monkeypatch):
     assert got == {p: s for p, s in every.items() if s >= 0.3} and 0 < len(got) < len(every)
 
 
+def test_texts_are_read_once_and_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROWS", 10)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"of w{i % 7} w{i % 5} W{i % 3}\u00a0x\x0b end", "N" if i % 4 else None, dt.date(2021, 1, 1 + i % 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, county string, day date").withColumn("text", told("text"))
+    args = (df, "id", F.col("text"), F.col("county"), F.col("day"))
+    variants, members = U.intake(*args)
+    flagged = U.flag_duplicates(members, U.intake_matches(variants, None)).collect()
+    # the test for any word and the words themselves may each call the function
+    assert len(flagged) == 60 and read.value <= 120
+    plain = [r[:4] for r in U.flag_duplicates(U.intake_members(*args), U.intake_matches(U.intake_variants(*args), None)).collect()]
+    assert sorted(r[:4] for r in flagged) == sorted(plain)
+    words = {tuple(r["words"]) for r in variants.collect()}
+    assert words == {tuple(r["w"]) for r in df.select(F.sort_array(S.word_set(F.col("text"))).alias("w")).collect()}
+    held = V.packed(variants)
+    plan = V.blocks_overlapping(held, held, T.IntegerType(), T.IntegerType(), 0.3, 30, True)._jdf.queryExecution().executedPlan().toString()
+    assert held.count() > 3 and "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_reason_text(spark):
     r = spark.range(1).select(U.match_reason(F.lit(0.456), F.lit("new"), F.lit(7)).alias("r")).first()["r"]
     assert r == "46% similar to new record (7)"
