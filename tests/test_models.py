@@ -297,3 +297,25 @@ def test_no_limit_on_topics_to_merge(spark):
     mapping, history = T.merge_topics(df, topics, "topic", 1000)
     assert {(r["topic"], r["coarse_topic"]) for r in mapping.collect()} == {(t, t // 3 * 3) for t in range(3000)}
     assert history.count() == 2000
+
+
+@pytest.mark.parametrize("parts, gathered, longest", [(16, 2_000_000, 2), (700, 30, 3), (16, 100, 1)])
+def test_reassigned_by_packed_counts_as_by_joined_terms(spark, monkeypatch, parts, gathered, longest):
+    monkeypatch.setattr(T, "PARTS", parts)
+    monkeypatch.setattr(T, "GATHERED", gathered)
+    rng = np.random.default_rng(parts + gathered)
+    rows = []
+    for i in range(120):
+        topic = None if i % 17 == 0 else int(rng.integers(-1, 6))
+        words = [f"w{int(k)}" for k in rng.exponential(4 + (topic or 0), rng.integers(0, 30))]
+        rows.append((f"k{i % 110}" if i % 23 else None, topic, None if i % 29 == 0 else words))
+    rows.append(("alone", -1, ["nowhere"]))
+    df = spark.createDataFrame(rows, "key string, topic int, words array<string>").repartition(5)
+    weights = T.topic_weights(df, "topic", "words", longest)
+    idf = weights.filter("topic = -1").select("term", "idf")
+    want = T.reassign_outliers(df, "key", "topic", "words", longest, weights=weights)
+    got = T.reassign_outliers(df, "key", "topic", "words", longest)
+    told = lambda found: sorted(((r["key"], r["topic"], r["words"], r["new_topic"]) for r in found.collect()), key=repr)
+    assert told(got) == told(want) and idf.count() > 10
+    lost = got.filter("topic = -1")
+    assert lost.filter("new_topic >= 0").count() > 10 and lost.filter("key = 'alone'").first()["new_topic"] == -1
