@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.session import checkpointed
+from panelyard.operators.parts import each_meeting, meeting, records_as_bytes, records_of, row_of, upper_half
+from panelyard.session import checkpointed, released
 
 #: Records and words of a block at most (a longer record is a block of its own).
 ROWS, WORDS = 1024, 300_000
@@ -40,10 +41,7 @@ _VIEWS = {8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}
 
 
 def packed(side: DataFrame) -> DataFrame:
-    """One row per block of records that lie close in county and day: what it holds, and the records in ``held``.
-
-    Every part begins with a row that holds nothing; ``first`` marks the block behind it.
-    """
+    """Parts of blocks of records that lie close in county and day, with the range of both."""
     n, words = side.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     cores = side.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(n / ROWS), math.ceil(words / WORDS))
@@ -51,25 +49,19 @@ def packed(side: DataFrame) -> DataFrame:
     parts = max(math.ceil(blocks / max(READ, math.ceil(blocks / 128))), min(math.ceil(n / 500), math.ceil(math.sqrt(6 * cores))), 1)
     rows_at_most, words_at_most = ROWS, WORDS
 
+    facts = [("c0", pa.string()), ("c1", pa.string()), ("any_c", pa.bool_()), ("d0", pa.date32()), ("d1", pa.date32()), ("any_d", pa.bool_())]
+    schema = pa.schema([*facts, ("first", pa.bool_()), ("held", pa.binary())])
+
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[pa.RecordBatch] = []
         n = words = done = 0
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.date32(), pa.date32(), pa.bool_(), pa.bool_(), pa.binary()]
-
-        def row(facts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f], k) for f, k in zip(facts, kinds)], names=["c0", "c1", "any_c", "d0", "d1", "any_d", "first", "held"])
-
         def out() -> Iterator[pa.RecordBatch]:
             if not done:
-                yield row([None] * 8)
+                yield row_of([], None, False, schema)
             rows = pa.Table.from_batches(gathered).combine_chunks()
-            day = pc.min_max(rows["day"]).as_py()
-            county = pc.min_max(rows["county"]).as_py()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as stream:
-                stream.write_table(rows)
+            county, day = (pc.min_max(rows[c]).as_py() for c in ("county", "day"))
             facts = [county["min"], county["max"], rows["county"].null_count > 0, day["min"], day["max"], rows["day"].null_count > 0]
-            yield row([*facts, not done, sink.getvalue().to_pybytes()])
+            yield row_of(facts, records_as_bytes(rows), not done, schema)
 
         for batch in batches:
             sizes = np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -93,7 +85,8 @@ def packed(side: DataFrame) -> DataFrame:
     names = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
     kind = "c0 string, c1 string, any_c boolean, d0 date, d1 date, any_d boolean, first boolean, held binary"
     held = rows.select("record", "copies", "county", "day", names.alias("codes")).mapInArrow(block, kind)
-    return checkpointed(held.withColumn("block", F.monotonically_increasing_id()))
+    with released(side.sparkSession):
+        return checkpointed(held.withColumn("block", F.monotonically_increasing_id()))
 
 
 def _may_meet(window_days: int) -> Column:
@@ -261,40 +254,17 @@ def blocks_overlapping(left: DataFrame, right: DataFrame, kind_a: T.DataType, ki
 
     meets = _may_meet(window_days)
     if same:
-        # of (a, b) and (b, a) one is taken, as often above the diagonal as below it
-        meets = meets & ((F.col("a.block") == F.col("b.block")) | (((F.col("a.block") + F.col("b.block")) % 2 == 0) == (F.col("a.block") < F.col("b.block"))))
+        meets = meets & upper_half()
     kind = T.StructType(
         [T.StructField("a_record", kind_a), T.StructField("b_record", kind_b)]
         + [T.StructField(f"{s}_copies", T.LongType()) for s in "ab"] + [T.StructField("similarity", T.DoubleType())]
     )
     out = to_arrow_schema(kind)
 
-    def opened(held: pa.Scalar) -> _Side:
-        return _Side(pa.ipc.open_stream(held.as_buffer()).read_all())
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, others = (None, None), {}
-        for batch in batches:
-            for x, y, meets, held_a, held_b in zip(*(batch.column(k) for k in range(5))):
-                x, y = x.as_py(), y.as_py()
-                if held_a.is_valid:
-                    mine = (x, opened(held_a))
-                if held_b.is_valid:
-                    others[y] = opened(held_b)
-                if not meets.as_py():
-                    continue
-                if mine[0] != x:
-                    raise ValueError("a block came before its part's first row")
-                one = same and x == y
-                for table in _pairs(mine[1], mine[1] if one else others[y], one, same, threshold, window_days, out):
-                    yield from table.combine_chunks().to_batches()
-
-    # a task goes through the part of b for each block of a in turn; the row that holds nothing brings the block of a,
-    # the part's first block of a brings the blocks of b, all other rows name two blocks that the task has
-    begins = F.col("b.held").isNull()
-    met = left.filter("held is not null").alias("a").join(right.alias("b").hint("shuffle_replicate_nl"), begins | F.col("a.first") | meets)
-    met = met.select(
-        F.col("a.block").alias("x"), F.col("b.block").alias("y"), (~begins & F.coalesce(meets, F.lit(False))).alias("meets"),
-        F.when(begins, F.col("a.held")).alias("held_a"), F.when(F.col("a.first"), F.col("b.held")).alias("held_b"),
-    )
-    return met.mapInArrow(task, kind)
+        for a, b, equal in each_meeting(batches, lambda held: _Side(records_of(held))):
+            one = same and equal
+            for table in _pairs(a, a if one else b, one, same, threshold, window_days, out):
+                yield from table.combine_chunks().to_batches()
+
+    return meeting(left, right, meets).mapInArrow(task, kind)

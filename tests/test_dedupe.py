@@ -270,3 +270,23 @@ def test_few_pairs_of_one_language_are_compared_in_full(monkeypatch):
     found = [(a, b) for i_, j_, _ in A._alike(pool, iter([(i, j)]), 80.0) for a, b in zip(i_, j_)]
     assert (7, 120) in found and set(found) == {(a, b) for a, b in zip(i, j) if S.ratio(texts[a], texts[b]) >= 80}
     assert seen[0] > 0.5 * len(i) and seen[-1] < 0.05 * len(i)
+
+
+def test_blocks_of_texts_meet_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(A, "ROWS", 3)
+    rows = records(150, 5)
+    df = spark.createDataFrame(rows, "id int, county string, text string, s date, e date")
+    variants = U.fold_copies(df, "id", "text", "county", "s", "e")
+    held = A._blocks(variants)
+    facts = variants.collect()
+    blocks = [A.records_of(pa.py_buffer(bytes(r["held"]))) for r in held.filter("held IS NOT NULL").collect()]
+    assert len(blocks) > 10 and sorted(i for b in blocks for i in b["record"].to_pylist()) == sorted(r["record"] for r in facts)
+    scored = A.alike(variants, 80.0, 30)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = {tuple(sorted((r["a_record"], r["b_record"]))) for r in scored.collect()}
+    ids = {r["record"] for r in facts}
+    # blocks of eight records and one block give the same
+    monkeypatch.setattr(A, "ROWS", 4096)
+    assert got == {tuple(sorted((r["a_record"], r["b_record"]))) for r in A.alike(variants, 80.0, 30).collect()}
+    assert got == {p for p in brute(rows) if p[0] in ids and p[1] in ids} and scored.count() == len(got) > 1
