@@ -290,3 +290,18 @@ def test_blocks_of_texts_meet_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(A, "ROWS", 4096)
     assert got == {tuple(sorted((r["a_record"], r["b_record"]))) for r in A.alike(variants, 80.0, 30).collect()}
     assert got == {p for p in brute(rows) if p[0] in ids and p[1] in ids} and scored.count() == len(got) > 1
+
+
+def test_stored_tables_leave_no_shuffle_and_the_settings_as_they_were(spark, tmp_path):
+    from panelyard.session import _LEAN, forgotten, released, stored
+
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    with pytest.raises(ValueError), released(spark):
+        assert {k: spark.conf.get(k) for k in _LEAN} == _LEAN
+        raise ValueError
+    held = stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts", "zstd")
+    assert {k: spark.conf.get(k, None) for k in _LEAN} == before
+    assert held.count() == 7
+    forgotten(held)
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        spark.read.parquet(held.inputFiles()[0]).count()
