@@ -7,7 +7,7 @@ them again instead of shuffling copies. Words are 64-bit names and become places
 of a 0/1 row per record, more places for longer records; the product of two
 such rows, plus the words that share a place, bounds the common words from
 above. The few pairs that pass are bounded again by rows of bits, and what is
-left is counted word by word, so the result is exact.
+left is counted name by name: exact but for two words of a pair that share a name.
 Work grows with the pairs that county, date and size allow; disk with the
 records, memory with two parts.
 """
